@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.encode import encode_texts
+from tallyloom.llm.leaks import find_leaks
 from tallyloom.llm.unify import find_disguised
 from tallyloom.tables import table
 
@@ -22,5 +23,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items whose passage they hold by half or more."""
+    found = find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+    return found.select("doc_id", "item_id")
+
+
+QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found}
 SQL: dict[str, str] = {}
