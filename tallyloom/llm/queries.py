@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.encode import encode_texts
+from tallyloom.llm.garbled import find_garbled
 from tallyloom.llm.leaks import find_leaks
 from tallyloom.llm.unify import find_disguised
 from tallyloom.tables import table
@@ -29,5 +30,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a stretch that was decoded with the wrong encoding."""
+    return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with their text restored and the chain that garbled it."""
+    return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "restored", "steps")
+
+
+QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {}
