@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.llm.encode import encode_texts
 from tallyloom.llm.garbled import find_garbled
 from tallyloom.llm.leaks import find_leaks
+from tallyloom.llm.people import link_spellings, spelling_pairs
+from tallyloom.llm.places import resolve_places
 from tallyloom.llm.unify import find_disguised
 from tallyloom.tables import table
 
 
+def p1_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person behind each staff name of both tables, store by store: ``place, written, person``."""
+    lexicon = table(spark, sf_dir, "name_lexicon").collect()  # a table of fixed size
+    forms = table(spark, sf_dir, "form_readings").where("store_name IS NOT NULL AND staff_name IS NOT NULL").select("store_name", "staff_name").distinct()
+    ledger = table(spark, sf_dir, "ledger_records").select(F.col("store_name").alias("place"), "staff_name").distinct()
+    means = resolve_places(forms, "store_name", table(spark, sf_dir, "stores"), "store_name", lexicon)
+    read = forms.join(means, forms["store_name"] == means["written"]).select("place", "staff_name")
+    return link_spellings(ledger.unionByName(read), "place", "staff_name", lexicon)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two spellings that stand for one person of a store."""
+    return spelling_pairs(p1_people(spark, sf_dir)).withColumnRenamed("place", "store_name")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields whose value looks clean but consists of other characters."""
     lexicon = table(spark, sf_dir, "name_lexicon")
@@ -40,5 +58,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "restored", "steps")
 
 
-QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {}

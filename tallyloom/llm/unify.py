@@ -130,6 +130,8 @@ def _settle_twins(text: str, surnames: frozenset[str], kana_words: frozenset[str
         plain = "".join(_KANJI_OF.get(x, x) for x in chars[start:end])
         if named in surnames or plain in surnames:
             out[i] = kanji
+        elif "".join(out[max(0, i - 2) : i]) in surnames and "".join(TWINS.get(x, x) for x in chars[i:end]) in kana_words:
+            out[i] = kata
         elif sides == {"k"} or after == "ー" or before == "ー" and c == kata:
             out[i] = kata
         elif sides == {"c"}:
