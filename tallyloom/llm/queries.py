@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.encode import encode_texts
 from tallyloom.llm.garbled import find_garbled
 from tallyloom.llm.leaks import find_leaks
+from tallyloom.llm.linkage import link_records
 from tallyloom.llm.people import link_spellings, spelling_pairs
 from tallyloom.llm.places import resolve_places
 from tallyloom.llm.unify import find_disguised
@@ -37,6 +38,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.unionByName(ledger).select("table_name", "row_id", "field").distinct()
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings without a usable number with their ledger record and the confidence of the match."""
+    lexicon = table(spark, sf_dir, "name_lexicon").collect()  # a table of fixed size
+    return link_records(table(spark, sf_dir, "form_readings"), table(spark, sf_dir, "ledger_records"), table(spark, sf_dir, "stores"), lexicon)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger record of each reading without a usable number, where the ledger has one."""
+    return p4_links(spark, sf_dir).select("reading_id", "record_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -58,5 +70,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "restored", "steps")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_links": p4_links, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {}
