@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom import schema as S
+from tallyloom.functions.text import join_list, norm_tablet
+from tallyloom.operators import metrics as M
 from tallyloom.operators.copies import compare_copies
+from tallyloom.operators.count_match import match_counts
+from tallyloom.operators.extract import normalize_extraction, page_name, page_status, page_success, parse_response, to_forms
+from tallyloom.operators.match import cascade, count_candidates, unmatched
 from tallyloom.operators.packed import explode_packed
+from tallyloom.plans import core_sql
+from tallyloom.plans import reconcile as R
 from tallyloom.tables import table
 
 
@@ -28,7 +36,191 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("reading_id", "field", F.col("pos").cast("int").alias("pos"), "item")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.as_forms(table(spark, sf_dir, "form_readings"), "reading_id")
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.as_ledger(table(spark, sf_dir, "ledger_records"))
+
+
+def _results(spark: SparkSession, sf_dir: str, mode: str = "csv") -> DataFrame:
+    return R.reconcile(_forms(spark, sf_dir), _ledger(spark, sf_dir), mode)
+
+
+def _with_found(results: DataFrame) -> DataFrame:
+    return results.withColumn("CSV_found", F.col("r").isNotNull())
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_response(table(spark, sf_dir, "page_responses"), "response_text")
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize_extraction(_pages(spark, sf_dir))
+
+
+def forms_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms as read: keys, joined totals, flag."""
+    return _forms(spark, sf_dir).select("file_name", *S.KEYS, join_list(F.col("left_totals")).alias("left_totals"), join_list(F.col("right_totals")).alias("right_totals"), "needs_review")
+
+
+def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows as read, with joined totals."""
+    return _ledger(spark, sf_dir).select(*S.KEYS, F.array_join(F.array(*S.LEFT), "/").alias("left_totals"), F.array_join(F.array(*S.RIGHT), "/").alias("right_totals"))
+
+
+def tablet_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct tablet texts of the forms with their form for matching."""
+    return table(spark, sf_dir, "form_readings").select("tablet_no", norm_tablet(F.col("tablet_no")).alias("norm")).distinct()
+
+
+def totals_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of left totals of a form, and the totals."""
+    return _forms(spark, sf_dir).select("file_name", F.size("left_totals").cast("bigint").alias("n_left"), join_list(F.col("left_totals")).alias("left_joined"))
+
+
+def _candidates(stage: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = count_candidates(_forms(spark, sf_dir), _ledger(spark, sf_dir), (stage,))
+        return found.select("file_name", F.col(f"n_{stage}").alias("n_candidates"))
+
+    query.__doc__ = f"Number of ledger rows with the form's {stage} key."
+    return query
+
+
+def cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stage decides for each form, and the row that was found."""
+    found = cascade(_forms(spark, sf_dir), _ledger(spark, sf_dir))
+    return found.select("file_name", "matching_key", "n_candidates", F.col("r.daily_report_no").alias("matched_daily_report_no"))
+
+
+def cascade_fallthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where an ambiguous stage hands on to the next."""
+    found = cascade(_forms(spark, sf_dir), _ledger(spark, sf_dir), "fallthrough", "trimmed")
+    return found.select("file_name", F.col("stage").alias("match_key"), F.col("r.daily_report_no").alias("matched_daily_report_no"))
+
+
+def ambiguous_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms for which the deciding stage has several rows."""
+    found = cascade(_forms(spark, sf_dir), _ledger(spark, sf_dir)).where(F.col("n_candidates") > 1)
+    return found.select("file_name", "matching_key", F.col("n_candidates").alias("n"))
+
+
+def unmatched_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms without a row at any stage."""
+    return unmatched(_forms(spark, sf_dir), _ledger(spark, sf_dir)).select("file_name")
+
+
+def field_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differing fields of the forms whose row was found."""
+    return R.diff_rows(_results(spark, sf_dir)).select("file_name", "field", "form_value", "csv_value")
+
+
+def reconcile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 19 columns of the result file."""
+    return R.result_rows(_results(spark, sf_dir))
+
+
+def reconcile_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under the headers of the download."""
+    return R.export_rows(_results(spark, sf_dir))
+
+
+def reconcile_pdf_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the reading model as forms, reconciled."""
+    forms = to_forms(_extracted(spark, sf_dir), "file_name", "page_id")
+    return R.reconcile(forms, _ledger(spark, sf_dir), "pdf").select(F.col("seq").alias("page_id"), "file_name", "matching_key", "status", F.array_join("review_reasons", " | ").alias("review_reasons"))
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by status, with zeros."""
+    return M.status_counts(_results(spark, sf_dir))
+
+
+def kpi_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total, and count and whole per cent of each status."""
+    return M.kpi_cards(_results(spark, sf_dir))
+
+
+def success_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four ways of counting success."""
+    return M.success_metrics(_with_found(_results(spark, sf_dir)))
+
+
+def status_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by matching key and status."""
+    return M.status_by_key(_results(spark, sf_dir))
+
+
+def report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the report numbered within their status; identical resends follow one another."""
+    return M.report_items(_results(spark, sf_dir), ["seq", "file_name"])
+
+
+def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that is shown."""
+    return R.table_view(_results(spark, sf_dir))
+
+
+def detail_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and ledger values side by side, a row for each field."""
+    return R.detail_rows(_results(spark, sf_dir)).select("file_name", "label", "form_value", "csv_value")
+
+
+def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw fields of the answers."""
+    return _pages(spark, sf_dir).select("page_id", *[F.col(f"raw.{c}").alias(c) for c in ("date", "store", "name", "data_no", "tab_no", "notes")], (F.col("error").isNotNull()).alias("is_error"))
+
+
+def normalize_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed fields of the answers."""
+    return _extracted(spark, sf_dir).select("page_id", "date", "store", "name", "data_no", "tab_no", "count", "total", "notes", "left_total", "right_total")
+
+
+def engine_b_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers against the ledger by the second engine; its two numbers are the first totals."""
+    crm = table(spark, sf_dir, "ledger_records").select(
+        F.col("date").alias("日付"), F.col("store_name").alias("店舗名"), F.col("staff_name").alias("氏名"), F.col("daily_report_no").alias("日報データNo"),
+        F.col("tablet_no").alias("タブレットNo"), F.col("left_total_1").alias("件数"), F.col("right_total_1").alias("合計値"),
+    )
+    m = match_counts(_extracted(spark, sf_dir), crm)
+    shown = F.array_join(F.transform("diffs", lambda d: F.concat(d["field"], F.lit(":"), d["extracted"].cast("string"), F.lit("/"), d["csv"].cast("string"))), " | ")
+    return m.select("page_id", "match_key", "status", F.col("count").alias("extracted_count"), "csv_count", shown.alias("diff_text"))
+
+
+def page_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each page."""
+    return page_status(_extracted(spark, sf_dir)).select("page_id", page_name(F.col("page_number")).alias("page_name"), F.col("page_status").alias("status"))
+
+
+def page_success_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are ok, and all."""
+    return page_success(page_status(_extracted(spark, sf_dir)))
+
+
+def preview_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five ledger rows by number; a preview is short by its nature."""
+    rows = table(spark, sf_dir, "ledger_records").select("record_id", *S.LEDGER)
+    return R.preview(rows, ["record_id", *S.LEDGER])
+
+
+def store_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by store and status."""
+    return M.summary_by(_results(spark, sf_dir), "store_name")
+
+
+def correction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each field to be corrected."""
+    return R.correction_rows(_results(spark, sf_dir))
+
+
+_MATCHING = [cascade_match, cascade_fallthrough, ambiguous_forms, unmatched_forms, field_diffs, reconcile_full, reconcile_export, reconcile_pdf_mode]
+_REPORTS = [status_counts, kpi_cards, success_metrics, status_by_key, report_items, result_table, detail_unpivot, store_status_summary, correction_rows]
+_READING = [forms_scan, ledger_scan, tablet_normalize, totals_parse, parse_responses, normalize_extractions, engine_b_match, page_statuses, page_success_ratio, preview_head]
+QUERIES = {f.__name__: f for f in [p3_found, p5_found, *_READING, *_MATCHING, *_REPORTS]} | {
+    "match_data_no": _candidates("number"), "match_tablet_no": _candidates("tablet"), "match_composite": _candidates("composite"),
+}
 
 
 def _copies_sql(dataset: str, first: str, second: str, key: str, version: str, texts: list[str], arrays: list[str]) -> str:
@@ -56,7 +248,7 @@ _LEDGER = ["date", "store_name", "staff_name", "daily_report_no", "tablet_no", "
 _SEVEN = ["date", "store_name", "staff_name", "daily_report_no", "tablet_no", "left_totals", "right_totals"]
 _RESULT = ["matching_key", *(f"帳票_{c}" for c in _SEVEN), *(f"CSV_{c}" for c in _SEVEN), "status"]
 
-SQL = {
+SQL = dict(core_sql.SQL) | {
     "p3_found": _copies_sql("ledger", "ledger_records", "ledger_mirror", "record_id", "modified_at", _LEDGER, [])
     + " UNION ALL "
     + _copies_sql("results", "recon_results", "recon_mirror", "file_name", "run_at", _RESULT, ["differences", "review_reasons"]),
