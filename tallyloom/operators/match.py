@@ -48,20 +48,30 @@ def key_index(ledger: DataFrame, name: str, keys: list[Column]) -> DataFrame:
     )
 
 
-def count_candidates(forms: DataFrame, ledger: DataFrame, stages: tuple[str, ...] = ("number", "tablet", "composite"), style: str = "exact") -> DataFrame:
-    """``forms`` with ``n_<stage>`` (0 where a stage doesn't apply) and the id of the candidate of each stage."""
+def _counted(forms: DataFrame, ledger: DataFrame, stages: tuple[str, ...], style: str) -> DataFrame:
+    """``_f`` (all columns of a form), and for each stage ``n_``, ``h1_`` and ``h2_``.  Nothing of a form can clash with them."""
     keys = stage_keys(style)
     ledger = with_row_id(ledger)
-    out = forms
+    probes = [k.alias(f"f_{name}_{i}") for name in stages for i, k in enumerate(keys[name])]
+    out = forms.select(F.struct("*").alias("_f"), *probes)
     for name in stages:
         index = key_index(ledger, name, keys[name])
-        on = F.lit(True)
-        for i, k in enumerate(keys[name]):
-            out = out.withColumn(f"f_{name}_{i}", k)
-            on = (F.col(f"f_{name}_{i}") == F.col(f"k_{name}_{i}")) if i == 0 else on & (F.col(f"f_{name}_{i}") == F.col(f"k_{name}_{i}"))
-        out = out.join(index, on, "left").drop(*[f"{p}_{name}_{i}" for p in "fk" for i in range(len(keys[name]))])
-        out = out.withColumn(f"n_{name}", F.coalesce(F.col(f"n_{name}"), F.lit(0)))
-    return out
+        on = F.col(f"f_{name}_0") == F.col(f"k_{name}_0")
+        for i in range(1, len(keys[name])):
+            on = on & (F.col(f"f_{name}_{i}") == F.col(f"k_{name}_{i}"))
+        out = out.join(index, on, "left").withColumn(f"n_{name}", F.coalesce(F.col(f"n_{name}"), F.lit(0)))
+    return out.select("_f", *[f"{p}_{name}" for name in stages for p in ("n", "h1", "h2")])
+
+
+def _unpacked(forms: DataFrame, added: list[str]) -> list[Column]:
+    """The columns of a form that no added column replaces."""
+    return [F.col("_f").getField(c).alias(c) for c in forms.columns if c not in added]
+
+
+def count_candidates(forms: DataFrame, ledger: DataFrame, stages: tuple[str, ...] = ("number", "tablet", "composite"), style: str = "exact") -> DataFrame:
+    """``forms`` with ``n_<stage>``, 0 where a stage doesn't apply.  Columns of these names are replaced."""
+    added = [f"n_{s}" for s in stages]
+    return _counted(forms, ledger, stages, style).select(*_unpacked(forms, added), *added)
 
 
 def cascade(forms: DataFrame, ledger: DataFrame, policy: str = "stop", style: str = "exact") -> DataFrame:
@@ -71,9 +81,9 @@ def cascade(forms: DataFrame, ledger: DataFrame, policy: str = "stop", style: st
     ``fallthrough``: the first stage with exactly one candidate decides, ambiguity goes on to the next stage.
     ``stage`` is null and ``matching_key`` says so where no stage decides.  ``r`` is the struct of the ledger
     row, null unless there is exactly one.  Empty ledger: nothing is found.  Repeated forms stay repeated.
+    Other columns of the forms are kept, but those of the four names are replaced.
     """
     stages = ("number", "tablet", "composite")
-    counted = count_candidates(forms, ledger, stages, style)
 
     def pick(value) -> Column:
         out = None
@@ -82,18 +92,20 @@ def cascade(forms: DataFrame, ledger: DataFrame, policy: str = "stop", style: st
             out = F.when(hit, value(name)) if out is None else out.when(hit, value(name))
         return out
 
-    decided = counted.withColumn("stage", pick(F.lit)).withColumn("n_candidates", F.coalesce(pick(lambda s: F.col(f"n_{s}")), F.lit(0)))
     label = None
     for name, (one, many) in LABELS.items():
         value = F.when(F.col("n_candidates") == 1, one).otherwise(many)
         label = F.when(F.col("stage") == name, value) if label is None else label.when(F.col("stage") == name, value)
-    decided = decided.withColumn("matching_key", label.otherwise(S.NOT_FOUND))
-    for h in ("h1", "h2"):
-        decided = decided.withColumn(f"_w{h}", F.when(F.col("n_candidates") == 1, pick(lambda s, h=h: F.col(f"{h}_{s}"))))
-    decided = decided.drop(*[f"{p}_{s}" for p in ("n", "h1", "h2") for s in stages])
-    rows = with_row_id(ledger).select(F.col("_h1"), F.col("_h2"), F.struct(*[blank(F.col(c)).alias(c) for c in S.LEDGER]).alias("r"))
-    found = decided.join(rows, (F.col("_wh1") == F.col("_h1")) & (F.col("_wh2") == F.col("_h2")), "left")
-    return found.drop("_wh1", "_wh2", "_h1", "_h2")
+    decided = _counted(forms, ledger, stages, style).withColumn("stage", pick(F.lit)).withColumn("n_candidates", F.coalesce(pick(lambda s: F.col(f"n_{s}")), F.lit(0)))
+    only = F.col("n_candidates") == 1
+    decided = decided.select(
+        "_f", "stage", "n_candidates", label.otherwise(S.NOT_FOUND).alias("matching_key"),
+        F.when(only, pick(lambda s: F.col(f"h1_{s}"))).alias("w1"), F.when(only, pick(lambda s: F.col(f"h2_{s}"))).alias("w2"),
+    )
+    rows = with_row_id(ledger).select("_h1", "_h2", F.struct(*[blank(F.col(c)).alias(c) for c in S.LEDGER]).alias("r"))
+    found = decided.join(rows, (F.col("w1") == F.col("_h1")) & (F.col("w2") == F.col("_h2")), "left")
+    added = ["stage", "matching_key", "n_candidates", "r"]
+    return found.select(*_unpacked(forms, added), *added)
 
 
 def unmatched(forms: DataFrame, ledger: DataFrame) -> DataFrame:
