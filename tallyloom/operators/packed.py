@@ -37,9 +37,8 @@ def _quoted(first: str, last: str) -> str:
 
 _BRACKETED = "|".join(rf"\{a}[^\{a}\{b}]*+\{b}{_END}" for a, b in BRACKETS)
 _SLOT = "|".join([*(_quoted(a, b) for a, b in QUOTES), _BRACKETED, rf"(?:(?!{MARK}|{BLANK})[\s\S])++", f"(?={BLANK}*{MARK})"])
-#: One slot with the separator behind it.
-SLOT = rf"\G{BLANK}*+(?:{_SLOT}){BLANK}*+{MARK}?+"
-_TAIL = rf"{BLANK}*+{MARK}?+\z"
+#: One slot, captured, with the separator behind it.
+SLOT = rf"\G{BLANK}*+({_SLOT}){BLANK}*+{MARK}?+"
 _OUTER = "^" + BLANK + "+|" + BLANK + r"+\z"
 
 
@@ -56,20 +55,23 @@ def split_packed(c: Column) -> Column:
     at its ends.  Null and blank fields give the empty array.
     """
     text = _strip(F.coalesce(c, F.lit("")))
+    pairs, brackets = [x + y for x, y in QUOTES + BRACKETS], [x + y for x, y in BRACKETS]
     enclosed = "|".join(rf"\{a}[^\{a}\{b}]*(?:\{a}[^\{a}\{b}]*\{b}[^\{a}\{b}]*)*\{b}" for a, b in BRACKETS)
-    body = F.when(
-        F.regexp(text, F.lit(rf"\A(?:{enclosed})\z")), F.substring(text, F.lit(2), F.length(text) - 2)
-    ).otherwise(text)
-    slots = F.regexp_extract_all(body, F.lit(SLOT), 0)
+
+    def ends(x: Column) -> Column:
+        return F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1))
+
+    whole = ends(text).isin(brackets) & F.regexp(text, F.lit(rf"\A(?:{enclosed})\z"))
+    body = F.when(whole, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    slots = F.regexp_extract_all(body, F.lit(SLOT), 1)
 
     def item(slot: Column, i: Column) -> Column:
-        cut = _strip(F.regexp_replace(slot, _TAIL, ""))
-        ends = F.concat(F.substring(cut, 1, 1), F.substring(cut, -1, 1))
-        in_pair = (F.length(cut) > 1) & ends.isin([x + y for x, y in QUOTES + BRACKETS])
-        inner = F.regexp_replace(F.substring(cut, F.lit(2), F.length(cut) - 2), "([\"'])\\1", "$1")
-        plain = F.regexp_replace(cut, f"^[{_QUOTE_CHARS}]+|[{_QUOTE_CHARS}]+$", "")
-        stray = F.when(in_pair, F.contains(inner, F.substring(cut, 1, 1))).otherwise(F.regexp(cut, F.lit(f"[{_QUOTE_CHARS}]")))
-        return F.struct((i + 1).alias("pos"), _strip(F.when(in_pair, inner).otherwise(plain)).alias("item"), stray.alias("malformed"))
+        in_pair = (F.length(slot) > 1) & ends(slot).isin(pairs)
+        inner = F.regexp_replace(F.substring(slot, F.lit(2), F.length(slot) - 2), "([\"'])\\1", "$1")
+        quoted = F.regexp(slot, F.lit(f"[{_QUOTE_CHARS}]"))
+        plain = F.when(quoted, _strip(F.regexp_replace(slot, f"^[{_QUOTE_CHARS}]+|[{_QUOTE_CHARS}]+$", ""))).otherwise(slot)
+        stray = F.when(in_pair, F.contains(inner, F.substring(slot, 1, 1))).otherwise(quoted)
+        return F.struct((i + 1).alias("pos"), F.when(in_pair, _strip(inner)).otherwise(plain).alias("item"), stray.alias("malformed"))
 
     return F.filter(F.transform(slots, item), lambda s: s["item"] != "")
 
