@@ -1,0 +1,230 @@
+"""Golden set, single cases and a nested-loop oracle for the reconciliation."""
+
+import csv
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom import schema as S
+from tallyloom.functions.text import list_repr, norm_tablet, parse_totals, to_real, to_whole, trim_u
+from tallyloom.operators import metrics as M
+from tallyloom.operators.diff import totals_agree
+from tallyloom.operators.match import cascade, unmatched
+from tallyloom.plans import reconcile as R
+from tallyloom.sinks import writers as W
+from tallyloom.sources.readers import read_csv, read_forms, read_ledger, read_pages
+from tallyloom.streaming.forms import reconcile_stream, running_counts, stream_forms
+from tests.golden import FORMS_CSV, LEDGER_CSV, form_row, ledger_row
+
+
+def forms_of(spark, rows):
+    schema = ", ".join(f"{c} STRING" for c in S.FORM_TEXT) + ", seq BIGINT"
+    return R.as_forms(spark.createDataFrame(rows, schema))
+
+
+def ledger_of(spark, rows):
+    return R.as_ledger(spark.createDataFrame(rows, S.LEDGER_SCHEMA))
+
+
+def one(spark, form, ledger, mode="csv", policy="stop"):
+    return R.reconcile(forms_of(spark, [form_row(**form)]), ledger_of(spark, [ledger_row(**r) for r in ledger]), mode, policy).first()
+
+
+@pytest.fixture(scope="module")
+def golden(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("golden")
+    (d / "ledger.csv").write_text(LEDGER_CSV, encoding="utf-8")
+    (d / "forms.csv").write_text(FORMS_CSV, encoding="utf-8")
+    return R.reconcile(read_forms(spark, str(d / "forms.csv")), read_ledger(spark, str(d / "ledger.csv"))).cache()
+
+
+def test_golden_statuses(golden):
+    got = {r.file_name: r for r in golden.collect()}
+    assert {n for n, r in got.items() if r.status == S.MATCH} == {"report_01.pdf", *(f"report_{i:02}.pdf" for i in range(6, 16))}
+    assert {n for n, r in got.items() if r.status == S.MISMATCH} == {f"report_{i:02}.pdf" for i in range(2, 6)}
+    assert got["report_02.pdf"].differences == ["左下合計欄: 帳票=30/8/3, CSV=30/8/2"]
+    assert got["report_03.pdf"].differences == ["右下合計欄: 帳票=25/8, CSV=25/3"]
+    assert (got["report_04.pdf"].matching_key, got["report_04.pdf"].differences) == (S.BY_TABLET, ["日報DataNo: 帳票=9004, CSV=0004"])
+    assert (got["report_05.pdf"].matching_key, got["report_05.pdf"].differences) == (S.BY_NUMBER, ["タブレットNo: 帳票=1A~2009999, CSV=1A~2002205"])
+    assert (got["task_1.pdf"].matching_key, got["task_1.pdf"].review_reasons) == (S.NOT_FOUND, [S.NO_RECORD])
+    assert (got["task_2b.pdf"].matching_key, got["task_2b.pdf"].review_reasons) == (S.BY_COMPOSITE_MANY, ["複数の候補レコードが見つかりました（3件）"])
+
+
+def test_golden_metrics(golden):
+    assert [tuple(r) for r in M.status_counts(golden).collect()] == [(S.MATCH, 11), (S.MISMATCH, 4), (S.REVIEW, 2)]
+    k = M.kpi_cards(golden).first()
+    assert (k.total, k.pct_match, k.pct_mismatch, k.pct_review) == (17, 64, 23, 11)
+    m = M.success_metrics(golden.withColumn("CSV_found", F.col("r").isNotNull())).first()
+    assert (m.report_matched, m.auto_identified, m.candidate_found, m.runner_success) == (15, 15, 16, 16)
+    items = {(r.status, r.item_no): r.file_name for r in M.report_items(golden, ["seq"]).collect()}
+    assert items[(S.MATCH, 1)] == "report_01.pdf" and items[(S.MATCH, 2)] == "report_06.pdf" and items[(S.REVIEW, 2)] == "task_2b.pdf" and len(items) == 17
+
+
+def test_golden_files(golden, tmp_path):
+    W.write_results(golden, str(tmp_path / "a.csv"))
+    raw = (tmp_path / "a.csv").read_bytes()
+    assert raw.startswith("file_name,matching_key,帳票_date".encode()) and raw.count(b"\r\n") == 18
+    rows = list(csv.DictReader((tmp_path / "a.csv").open(encoding="utf-8", newline="")))
+    assert [r["file_name"] for r in rows][:2] == ["report_01.pdf", "report_02.pdf"] and rows[15]["CSV_date"] == "" and rows[0]["CSV_left_totals"] == "29/9/3"
+    path = W.write_export(golden, str(tmp_path), datetime(2026, 4, 20, 1, 2, 3))
+    assert path.endswith("reconciliation_result_20260420_010203.csv") and open(path, encoding="utf-8").readline().startswith("ファイル,マッチング方式,帳票_日付")
+    W.write_csv(R.result_rows(golden), str(tmp_path / "parts"))
+    W.write_json(golden, str(tmp_path / "json"))
+    report = W.markdown_report(golden)
+    assert "| 一致 | 11 | 64.7% |" in report and "| 不一致 | 4 | 23.5% |" in report and "### 1. report_01.pdf" in report
+    assert W.console_summary(golden)[0] == "一致: 11 (64.7%)"
+
+
+def test_views(golden):
+    assert R.table_view(golden).count() == 17
+    detail = R.detail_rows(golden).where("file_name = 'task_1.pdf'").collect()
+    assert len(detail) == 7 and {r.csv_value for r in detail} == {"-"}
+    assert [r.修正対象項目 for r in R.correction_rows(golden).collect()].count("左下合計欄") == 1
+    assert R.point(golden, golden.where("file_name = 'task_1.pdf'").first().seq).first().label == "task_1.pdf - 要確認"
+
+
+def test_empty_inputs(spark):
+    forms, ledger = forms_of(spark, []), ledger_of(spark, [])
+    res = R.reconcile(forms, ledger)
+    assert [r.n for r in M.status_counts(res).collect()] == [0, 0, 0] and M.kpi_cards(res).first().pct_match == 0
+    assert "| 一致 | 0 | 0.0% |" in W.markdown_report(res)
+    assert one(spark, {"daily_report_no": "1"}, []).matching_key == S.NOT_FOUND
+
+
+NUMBER = {"daily_report_no": "1"}
+CASES = [
+    ("null equals empty", {**NUMBER}, {**NUMBER, "store_name": ""}, None),
+    ("tablet missing", {**NUMBER}, {**NUMBER, "tablet_no": "T1"}, "タブレットNo: 帳票=未読取, CSV=T1"),
+    ("tablet and a space", {**NUMBER}, {**NUMBER, "tablet_no": " "}, "タブレットNo: 帳票=未読取, CSV= "),
+    ("tablet normalised", {**NUMBER, "tablet_no": "Ab ¶1"}, {**NUMBER, "tablet_no": "abit1"}, None),
+    ("wide space", {**NUMBER, "tablet_no": "A　1"}, {**NUMBER, "tablet_no": "A1"}, "タブレットNo: 帳票=A　1, CSV=A1"),
+    ("inner blank", {**NUMBER, "left_totals": "1//2"}, {**NUMBER, "left_total_1": "1", "left_total_2": "2"}, "左下合計欄: 帳票=1/2, CSV=1/2/"),
+    ("wide spaces around", {**NUMBER, "left_totals": "　29/9/3　"}, {**NUMBER, "left_total_1": "29", "left_total_2": "9", "left_total_3": "3"}, None),
+    ("decimal", {**NUMBER, "left_totals": "29.0/9/3"}, {**NUMBER, "left_total_1": "29", "left_total_2": "9", "left_total_3": "3"}, "左下合計欄: 帳票=29.0/9/3, CSV=29/9/3"),
+    ("no totals", {**NUMBER}, {**NUMBER}, "左下合計欄: 帳票=未読取, CSV=//"),
+]
+
+
+@pytest.mark.parametrize(("name", "form", "row", "message"), CASES, ids=[c[0] for c in CASES])
+def test_single_cases(spark, name, form, row, message):
+    got = one(spark, form, [row]).differences
+    if message:
+        assert message in got
+    else:
+        label = "左下" if "left_totals" in form else "店舗名" if "store_name" in row else "タブレット"
+        assert not any(d.startswith(label) for d in got)
+
+
+def test_keys_are_texts(spark):
+    assert one(spark, {"daily_report_no": "001"}, [{"daily_report_no": "1"}]).matching_key == S.NOT_FOUND
+    assert one(spark, {"daily_report_no": "001 "}, [{"daily_report_no": "001"}]).matching_key == S.NOT_FOUND
+    assert one(spark, {"tablet_no": " "}, [{"tablet_no": "  "}]).matching_key == S.BY_TABLET  # a space normalises to the empty text on both sides
+
+
+def test_ambiguity_counts_equal_rows_and_stops(spark):
+    same = {"daily_report_no": "k", "tablet_no": "t"}
+    r = one(spark, same, [same, same])
+    assert (r.matching_key, r.n_candidates, r.r, r.status) == (S.BY_NUMBER_MANY, 2, None, S.REVIEW)
+    rows = [{"daily_report_no": "k", "tablet_no": "t"}, {"daily_report_no": "k", "tablet_no": "u"}]
+    assert one(spark, same, rows).matching_key == S.BY_NUMBER_MANY
+    assert one(spark, same, rows, policy="fallthrough").stage == "tablet"
+
+
+def test_review_keeps_the_row_but_no_differences(spark):
+    r = one(spark, {**NUMBER, "needs_review": "TRUE", "date": "x"}, [NUMBER])
+    assert (r.status, r.differences, r.review_reasons, r.r.daily_report_no) == (S.REVIEW, [], [S.TOTALS_UNREAD], "1")
+    assert one(spark, {**NUMBER, "needs_review": " True"}, [NUMBER]).needs_review is False
+    assert one(spark, {"needs_review": "true"}, [], mode="pdf").review_reasons == [S.TOTALS_UNREAD]
+    assert one(spark, {"needs_review": "true"}, []).review_reasons == [S.NO_RECORD]
+
+
+def test_columns_of_forms_are_kept_and_clashing_ones_replaced(spark):
+    forms = forms_of(spark, [form_row(file_name="a", daily_report_no="1")]).withColumn("n_number", F.lit("mine")).withColumn("k_number_0", F.lit(1)).withColumn("r", F.lit(2)).withColumn("_h1", F.lit(3))
+    ledger = ledger_of(spark, [ledger_row(daily_report_no="1")]).withColumn("n_number", F.lit(9)).withColumn("file_name", F.lit("other"))
+    row = cascade(forms, ledger).first()
+    assert (row.n_number, row.k_number_0, row._h1, row.file_name, row.r.daily_report_no) == ("mine", 1, 3, "a", "1")
+    long = "長" * 200_000
+    assert one(spark, {"daily_report_no": long}, [{"daily_report_no": long}]).matching_key == S.BY_NUMBER
+
+
+def brute(forms, ledger):
+    """Nested loops over text rows."""
+
+    def norm(v):
+        return v.replace(" ", "").replace("¶", "it").lower() if v else None
+
+    out = []
+    for f in forms:
+        f = dict(zip([*S.FORM_TEXT, "seq"], f, strict=True))
+        stages = [
+            (S.BY_NUMBER, S.BY_NUMBER_MANY, [g for g in ledger if f["daily_report_no"] and g[3] == f["daily_report_no"]]),
+            (S.BY_TABLET, S.BY_TABLET_MANY, [g for g in ledger if f["tablet_no"] and norm(g[4]) == norm(f["tablet_no"])]),
+            (S.BY_COMPOSITE, S.BY_COMPOSITE_MANY, [g for g in ledger if all(f[c] for c in S.KEYS[:3]) and g[:3] == tuple(f[c] for c in S.KEYS[:3])]),
+        ]
+        key, n, row = S.NOT_FOUND, 0, None
+        for label, many, found in stages:
+            if found:
+                key, n, row = (label, 1, found[0]) if len(found) == 1 else (many, len(found), None)
+                break
+        out.append((f["seq"], key, n, row))
+    return out
+
+
+def test_cascade_against_nested_loops(spark):
+    rnd = random.Random(7)
+    pick = lambda *v: rnd.choice(v)
+    ledger = [ledger_row(date=pick("d1", "d2", ""), store_name=pick("s1", "s2"), staff_name=pick("p1", "p2", ""), daily_report_no=pick("", *map(str, range(40))), tablet_no=pick("", " ", "T 1", "t1", "¶2", "it2", *map(str, range(30)))) for _ in range(60)]
+    forms = [form_row(i, file_name=f"f{i}", date=pick("d1", "d3", ""), store_name=pick("s1", "s2", ""), staff_name=pick("p1", "p2"), daily_report_no=pick("", "99", *map(str, range(40))), tablet_no=pick("", " ", "t1", "IT2", "77", *map(str, range(30)))) for i in range(150)]
+    got = cascade(forms_of(spark, forms), ledger_of(spark, ledger)).collect()
+    assert sorted((r.seq, r.matching_key, r.n_candidates, tuple(r.r) if r.r else None) for r in got) == sorted(brute(forms, ledger))
+    left = {r.seq for r in unmatched(forms_of(spark, forms), ledger_of(spark, ledger)).collect()}
+    assert left == {s for s, key, _, _ in brute(forms, ledger) if key == S.NOT_FOUND}
+
+
+def test_csv_dialect(spark, tmp_path):
+    text = "extra," + ",".join(S.LEDGER) + '\r\nx,"a\nb","say ""hi""", c ,0001,,"",1,2,3,4\r\n'
+    (tmp_path / "l.csv").write_bytes(b"\xef\xbb\xbf" + text.encode())
+    r = read_ledger(spark, str(tmp_path / "l.csv")).first()
+    assert (r.date, r.store_name, r.staff_name, r.daily_report_no, r.tablet_no, r.left_total_1) == ("a\nb", 'say "hi"', " c ", "0001", "", "")
+    with pytest.raises(KeyError):
+        read_csv(spark, str(tmp_path / "l.csv"), ["absent"])
+
+
+def test_pages_source(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"two")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+
+    def extract(content, name):
+        if content == b"bad":
+            raise ValueError("unreadable")
+        return ['{"store": "s"}', "{}"]
+
+    rows = {(r.filename, r.page_number): (r.response_text, r.error) for r in read_pages(spark, str(tmp_path), extract, first_only=False).collect()}
+    assert rows == {("a.pdf", 1): ('{"store": "s"}', None), ("a.pdf", 2): ("{}", None), ("b.pdf", 1): (None, "unreadable")}
+    W.write_pages(read_pages(spark, str(tmp_path), extract), str(tmp_path / "out" / "p.csv"))
+    assert (tmp_path / "out" / "p.csv").read_text(encoding="utf-8").startswith("page_number,date,store")
+
+
+def test_streaming_equals_batch(spark, tmp_path):
+    rows = [form_row(i, file_name=f"f{i}", daily_report_no=str(i % 7)) for i in range(40)]
+    raw = spark.createDataFrame(rows, ", ".join(f"{c} STRING" for c in S.FORM_TEXT) + ", seq BIGINT")
+    raw.write.parquet(str(tmp_path / "in"))
+    ledger = ledger_of(spark, [ledger_row(daily_report_no=str(i)) for i in range(5)])
+    counts = running_counts(reconcile_stream(stream_forms(spark, str(tmp_path / "in"), "seq"), ledger))
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    batch = {r.status: r.n for r in running_counts(R.reconcile(R.as_forms(raw), ledger)).collect()}
+    assert {r.status: r.n for r in spark.table("counts").collect()} == batch
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("　 a \x1c",), ("",), (None,), ("12.9",), ("-3.7",), ("abc",), ("true",), ("inf",), (" 5 ",)], "c STRING")
+    rows = {r.c: r for r in df.select("c", trim_u(F.col("c")).alias("t"), to_whole(F.col("c")).alias("w"), to_real(F.col("c")).alias("d"), norm_tablet(F.col("c")).alias("n"), parse_totals(F.col("c")).alias("p")).collect()}
+    assert rows["　 a \x1c"].t == "a" and rows[None].t is None
+    assert [rows[x].w for x in ("12.9", "-3.7", "abc", "true", "inf", " 5 ", "", None)] == [12, -3, None, 1, None, 5, None, None]
+    assert rows["12.9"].d == 12.9 and rows[""].n is None and rows[None].p == []
+    assert spark.range(1).select(list_repr(F.array(F.lit("a"), F.lit("b'"))).alias("x"), list_repr(F.array().cast("array<string>")).alias("y")).first() == ("['a', 'b'']", "")
+    t = spark.range(1).select(totals_agree(F.lit(5), F.lit(5), F.array(F.lit(2), F.lit(3))).alias("a"), totals_agree(F.lit(4), F.lit(5), F.array(F.lit(2), F.lit(3))).alias("b")).first()
+    assert (t.a, t.b) == (True, False)
