@@ -1,4 +1,4 @@
-"""Parsing of typed person names: parts, renderings and edit distance."""
+"""Parsing of typed person names: parts, renderings, and the keys of the segment index."""
 
 from __future__ import annotations
 
@@ -83,33 +83,6 @@ def skeleton(latin: str) -> str:
     return re.sub(r"(.)\1+", r"\1", s)
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Edits (insert, delete, replace, swap of neighbours) from a to b in a band of ``most``; ``most + 1`` if there are more."""
-    if a == b:
-        return 0
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return most + 1
-    far = most + 1
-    before: list[int] = []
-    last = [j if j <= most else far for j in range(m + 1)]
-    for i in range(1, n + 1):
-        row = [far] * (m + 1)
-        if i <= most:
-            row[0] = i
-        low = far
-        for j in range(max(1, i - most), min(m, i + most) + 1):
-            v = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                v = min(v, before[j - 2] + 1)
-            row[j] = v
-            low = min(low, v)
-        if low > most:
-            return far
-        before, last = last, row
-    return min(last[m], far)
-
-
 @dataclass(frozen=True)
 class Lexicon:
     """Name elements: kanji to (kana, romaji), and call names."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.names import Lexicon, fold, index_keys, name_unifier, probe_keys
+from tallyloom.llm.unify import kana_runs
 
 # Usual short forms of the words for a place.
 SHORT = {
@@ -65,7 +66,7 @@ def resolve_places(texts: DataFrame, text: str, places: DataFrame, name: str, le
     """
     lexicon = Lexicon.of(lexicon_rows)
     words = place_words(places, name)
-    surnames, kana = tuple(lexicon.surnames), tuple(lexicon.kana_words())
+    surnames, kana = tuple(lexicon.surnames), (*lexicon.kana_words(), *kana_runs(places, name))
     known = places.select(F.col(name).cast("string").alias("place")).where("place IS NOT NULL").distinct()
     written = texts.select(F.col(text).cast("string").alias("written")).where("written IS NOT NULL").distinct()
 

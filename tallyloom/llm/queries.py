@@ -11,7 +11,7 @@ from tallyloom.llm.leaks import find_leaks
 from tallyloom.llm.linkage import link_records
 from tallyloom.llm.people import link_spellings, spelling_pairs
 from tallyloom.llm.places import resolve_places
-from tallyloom.llm.unify import find_disguised
+from tallyloom.llm.unify import find_disguised, kana_runs
 from tallyloom.tables import table
 
 
@@ -33,7 +33,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields whose value looks clean but consists of other characters."""
     lexicon = table(spark, sf_dir, "name_lexicon")
-    forms = find_disguised(table(spark, sf_dir, "form_readings"), "reading_id", ["store_name", "staff_name"], lexicon, "form_readings")
+    forms = find_disguised(table(spark, sf_dir, "form_readings"), "reading_id", ["store_name", "staff_name"], lexicon, "form_readings", kana_runs(table(spark, sf_dir, "stores"), "store_name"))
     ledger = find_disguised(table(spark, sf_dir, "ledger_records"), "record_id", ["tablet_no"], lexicon, "ledger_records")
     return forms.unionByName(ledger).select("table_name", "row_id", "field").distinct()
 

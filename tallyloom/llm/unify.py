@@ -51,13 +51,15 @@ _UNSTABLE = (
 _TWIN_NEAR = (
     f"[夕口卜八一工力二へべぺ][{_KATA}]|[{_KATA}][夕口卜八一工力二へべぺ]"
     f"|[タロトハーエカニヘベペ][{_KANJI}ぁ-ゖ]|[{_KANJI}ぁ-ゖ][タロトハーエカニヘベペ]"
-    f"|[夕口卜八一工力二][ぁ-ゖ夕口卜八一工力二]|^[夕口卜八一工力二]|[{_KATA}]-|-[{_KATA}]"
+    f"|[{_KANJI}][夕口卜八工力二]+(?![{_KANJI}])|[夕口卜八一工力二][ぁ-ゖ夕口卜八一工力二]|^[夕口卜八一工力二]|[{_KATA}]-|-[{_KATA}]"
 )
 QUICK_CHECK = rf"^[ ]|[ ]\z|{_UNSTABLE}|{_TWIN_NEAR}"
 
 
 def _script(ch: str) -> str:
     """k katakana, h hiragana, c kanji, else the empty text."""
+    if not ch:
+        return ""
     if "ァ" <= ch <= "ヺ" or ch in "ーヽヾ":
         return "k"
     if "ぁ" <= ch <= "ゖ":
@@ -122,7 +124,13 @@ def _settle_twins(text: str, surnames: frozenset[str], kana_words: frozenset[str
         sides = {s for s in (left, right) if s in "kc" and s}
         if kata == "ー":
             if _script(before) == "k":
-                out[i] = c if after == "店" or not (left == "k" or right == "k" or before != chars[i - 1]) else "ー"
+                start = i
+                while start and _script(out[start - 1]) == "k":
+                    start -= 1
+                if after == "店" and c == "一":  # the rest of 第一店, unless the word is known with its long vowel
+                    out[i] = "ー" if "".join(out[start:i]) + "ー" in kana_words else c
+                elif left == "k" or right == "k" or before != chars[i - 1]:
+                    out[i] = "ー"
             elif _script(before) == "c" and _script(after) == "c":
                 out[i] = "一"
             continue
@@ -173,6 +181,14 @@ def make_unifier(surnames: Iterable[str] = (), kana_words: Iterable[str] = ()):
 
     @lru_cache(200_000)
     def unify(text: str) -> str:
+        for _ in range(8):  # a settled letter may settle its neighbour
+            new = once(text)
+            if new == text:
+                break
+            text = new
+        return text
+
+    def once(text: str) -> str:
         if text.isascii():
             return _IGNORABLE.sub("", _BLANKS.sub(" ", text)).strip(" ")
         text = _IGNORABLE.sub("", text)
@@ -186,6 +202,7 @@ def make_unifier(surnames: Iterable[str] = (), kana_words: Iterable[str] = ()):
             parts += [text[at:start], _segment(text[start : m.end()])]
             at = m.end()
         text = _settle_twins(_settle_latin("".join([*parts, text[at:]])), names, words)
+        text = unicodedata.normalize("NFC", text)  # a twin may have come before a combining mark
         return _DASH.sub("-", text).strip(" ")  # a dash in a katakana word is its long vowel by now
 
     return unify
@@ -205,6 +222,12 @@ def lexicon_words(lexicon: DataFrame) -> tuple[list[str], list[str]]:
     )
 
 
+def kana_runs(places: DataFrame, name: str) -> list[str]:
+    """The katakana words in registered names; as many as there are words in use, not as there are names."""
+    runs = F.explode(F.regexp_extract_all(F.col(name), F.lit("[ァ-ヺー]{2,}"), 0)).alias("w")
+    return sorted(r.w for r in places.select(runs).groupBy("w").count().select("w").collect())
+
+
 def unify_udf(surnames: list[str], kana_words: list[str]):
     """Arrow UDF of the canonical form; null stays null, the empty text stays empty."""
 
@@ -216,14 +239,16 @@ def unify_udf(surnames: list[str], kana_words: list[str]):
     return unified
 
 
-def find_disguised(df: DataFrame, row_id: str, fields: list[str], lexicon: DataFrame, table_name: str) -> DataFrame:
+def find_disguised(df: DataFrame, row_id: str, fields: list[str], lexicon: DataFrame, table_name: str, words: list[str] | None = None) -> DataFrame:
     """Every field value that isn't in its canonical form: ``table_name, row_id, field, value, canonical``.
 
     Null, empty and clean values give no row; a value of blanks only has the empty text as canonical form.
     Rows that are repeated (resends) give one row for each distinct value.  A null ``row_id`` is kept.
+    ``words``: further katakana words that names are made of.
     No shuffle before the quick check; Python sees only the values that fail it, each distinct one once.
     """
-    udf = unify_udf(*lexicon_words(lexicon))
+    surnames, kana = lexicon_words(lexicon)
+    udf = unify_udf(surnames, sorted({*kana, *(words or [])}))
     named = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))
     each = df.select(F.col(row_id).alias("row_id"), named.alias("_n")).select("row_id", "_n.field", "_n.value")
     suspects = each.where(needs_unifying(F.col("value"))).dropDuplicates()
