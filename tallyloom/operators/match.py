@@ -18,9 +18,11 @@ from tallyloom.functions.text import blank, norm_tablet, trim_u
 #: Key of each stage by name: (label for one candidate, label for several).
 LABELS = {"number": (S.BY_NUMBER, S.BY_NUMBER_MANY), "tablet": (S.BY_TABLET, S.BY_TABLET_MANY), "composite": (S.BY_COMPOSITE, S.BY_COMPOSITE_MANY)}
 
+STAGES = ("number", "tablet", "composite")
+
 
 def stage_keys(style: str = "exact") -> dict[str, list[Column]]:
-    """Key expressions of the three stages, on forms and ledger alike; null where the stage doesn't apply.
+    """Key expressions of the three stages, and of the first two together, on forms and ledger alike; null where the stage doesn't apply.
 
     ``exact``: texts as they are, tablets normalised.  ``trimmed``: all texts without outer white space.
     """
@@ -28,7 +30,10 @@ def stage_keys(style: str = "exact") -> dict[str, list[Column]]:
         return F.nullif(trim_u(F.col(c)) if style == "trimmed" else F.col(c), F.lit(""))
 
     tablet = norm_tablet(F.col("tablet_no")) if style == "exact" else one("tablet_no")
-    return {"number": [one("daily_report_no")], "tablet": [tablet], "composite": [one("date"), one("store_name"), one("staff_name")]}
+    return {
+        "number": [one("daily_report_no")], "tablet": [tablet], "composite": [one("date"), one("store_name"), one("staff_name")],
+        "both": [one("daily_report_no"), tablet],
+    }
 
 
 def with_row_id(ledger: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def _unpacked(forms: DataFrame, added: list[str]) -> list[Column]:
     return [F.col("_f").getField(c).alias(c) for c in forms.columns if c not in added]
 
 
-def count_candidates(forms: DataFrame, ledger: DataFrame, stages: tuple[str, ...] = ("number", "tablet", "composite"), style: str = "exact") -> DataFrame:
+def count_candidates(forms: DataFrame, ledger: DataFrame, stages: tuple[str, ...] = STAGES, style: str = "exact") -> DataFrame:
     """``forms`` with ``n_<stage>``, 0 where a stage doesn't apply.  Columns of these names are replaced."""
     added = [f"n_{s}" for s in stages]
     return _counted(forms, ledger, stages, style).select(*_unpacked(forms, added), *added)
@@ -79,28 +84,36 @@ def cascade(forms: DataFrame, ledger: DataFrame, policy: str = "stop", style: st
 
     ``stop``: the first stage with a candidate decides, several candidates there make the form ambiguous.
     ``fallthrough``: the first stage with exactly one candidate decides, ambiguity goes on to the next stage.
+    ``narrow``: like ``stop``, but several candidates by number are narrowed to those with the form's tablet.
     ``stage`` is null and ``matching_key`` says so where no stage decides.  ``r`` is the struct of the ledger
     row, null unless there is exactly one.  Empty ledger: nothing is found.  Repeated forms stay repeated.
     Other columns of the forms are kept, but those of the four names are replaced.
     """
-    stages = ("number", "tablet", "composite")
+    def n(s: str) -> Column:
+        return F.col(f"n_{s}")
+
+    hits = {"stop": [(s, s, n(s) > 0) for s in STAGES], "fallthrough": [(s, s, n(s) == 1) for s in STAGES]}
+    if policy == "narrow":
+        rules = [("number", "number", n("number") == 1), ("number", "both", (n("number") > 1) & (n("both") == 1)), *hits["stop"]]
+    else:
+        rules = hits[policy]
 
     def pick(value) -> Column:
-        out = None
-        for name in stages:
-            hit = F.col(f"n_{name}") > 0 if policy == "stop" else F.col(f"n_{name}") == 1
-            out = F.when(hit, value(name)) if out is None else out.when(hit, value(name))
+        out = F.when(F.lit(False), F.lit(None))
+        for stage, index, hit in rules:
+            out = out.when(hit, value(stage, index))
         return out
 
     label = None
-    for name, (one, many) in LABELS.items():
-        value = F.when(F.col("n_candidates") == 1, one).otherwise(many)
+    for name, (single, many) in LABELS.items():
+        value = F.when(F.col("n_candidates") == 1, single).otherwise(many)
         label = F.when(F.col("stage") == name, value) if label is None else label.when(F.col("stage") == name, value)
-    decided = _counted(forms, ledger, stages, style).withColumn("stage", pick(F.lit)).withColumn("n_candidates", F.coalesce(pick(lambda s: F.col(f"n_{s}")), F.lit(0)))
+    used = STAGES + (("both",) if policy == "narrow" else ())
+    decided = _counted(forms, ledger, used, style).withColumn("stage", pick(lambda s, i: F.lit(s))).withColumn("n_candidates", F.coalesce(pick(lambda s, i: n(i)), F.lit(0)))
     only = F.col("n_candidates") == 1
     decided = decided.select(
         "_f", "stage", "n_candidates", label.otherwise(S.NOT_FOUND).alias("matching_key"),
-        F.when(only, pick(lambda s: F.col(f"h1_{s}"))).alias("w1"), F.when(only, pick(lambda s: F.col(f"h2_{s}"))).alias("w2"),
+        F.when(only, pick(lambda s, i: F.col(f"h1_{i}"))).alias("w1"), F.when(only, pick(lambda s, i: F.col(f"h2_{i}"))).alias("w2"),
     )
     rows = with_row_id(ledger).select("_h1", "_h2", F.struct(*[blank(F.col(c)).alias(c) for c in S.LEDGER]).alias("r"))
     found = decided.join(rows, (F.col("w1") == F.col("_h1")) & (F.col("w2") == F.col("_h2")), "left")
@@ -111,7 +124,7 @@ def cascade(forms: DataFrame, ledger: DataFrame, policy: str = "stop", style: st
 def unmatched(forms: DataFrame, ledger: DataFrame) -> DataFrame:
     """Forms without a candidate at any stage."""
     out = forms
-    for keys in stage_keys().values():
+    for keys in [stage_keys()[s] for s in STAGES]:
         right = ledger.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).distinct()
         on = keys[0] == F.col("k0")
         for i, k in enumerate(keys[1:], 1):

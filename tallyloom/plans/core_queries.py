@@ -101,6 +101,12 @@ def cascade_fallthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_name", F.col("stage").alias("match_key"), F.col("r.daily_report_no").alias("matched_daily_report_no"))
 
 
+def cascade_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where several rows by number are narrowed by tablet."""
+    found = cascade(_forms(spark, sf_dir), _ledger(spark, sf_dir), "narrow")
+    return found.select("file_name", "matching_key", "n_candidates", F.col("r.tablet_no").alias("matched_tablet_no"))
+
+
 def ambiguous_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms for which the deciding stage has several rows."""
     found = cascade(_forms(spark, sf_dir), _ledger(spark, sf_dir)).where(F.col("n_candidates") > 1)
@@ -215,7 +221,7 @@ def correction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.correction_rows(_results(spark, sf_dir))
 
 
-_MATCHING = [cascade_match, cascade_fallthrough, ambiguous_forms, unmatched_forms, field_diffs, reconcile_full, reconcile_export, reconcile_pdf_mode]
+_MATCHING = [cascade_match, cascade_fallthrough, cascade_narrow, ambiguous_forms, unmatched_forms, field_diffs, reconcile_full, reconcile_export, reconcile_pdf_mode]
 _REPORTS = [status_counts, kpi_cards, success_metrics, status_by_key, report_items, result_table, detail_unpivot, store_status_summary, correction_rows]
 _READING = [forms_scan, ledger_scan, tablet_normalize, totals_parse, parse_responses, normalize_extractions, engine_b_match, page_statuses, page_success_ratio, preview_head]
 QUERIES = {f.__name__: f for f in [p3_found, p5_found, *_READING, *_MATCHING, *_REPORTS]} | {

@@ -188,6 +188,12 @@ SQL = {
     + _counted("forms", _trim("f.daily_report_no"), _trim("f.tablet_no"), [_trim("f.date"), _trim("f.store_name"), _trim("f.staff_name")])
     + ", m AS (SELECT *, CASE WHEN n1 = 1 THEN 'number' WHEN n2 = 1 THEN 'tablet' WHEN n3 = 1 THEN 'composite' END AS match_key, CASE WHEN n1 = 1 THEN l1 WHEN n2 = 1 THEN l2 WHEN n3 = 1 THEN l3 END AS lid FROM counted) "
     "SELECT file_name, match_key, g.daily_report_no AS matched_daily_report_no FROM m LEFT JOIN ledger g ON m.lid = g.lid",
+    "cascade_narrow": f"WITH {FORMS}, {LEDGER}, {_EXACT}, {_COUNTED}, "
+    f"i4 AS (SELECT daily_report_no AS k, {_norm('tablet_no')} AS k2, count(*) AS n, min(lid) AS lid FROM ledger WHERE daily_report_no <> '' AND {_norm('tablet_no')} IS NOT NULL GROUP BY ALL), "
+    f"c4 AS (SELECT c.*, coalesce(i4.n, 0) AS n4, i4.lid AS l4 FROM counted c LEFT JOIN i4 ON c.daily_report_no = i4.k AND {_norm('c.tablet_no')} = i4.k2), "
+    f"m AS (SELECT c4.*, CASE WHEN n1 > 1 AND n4 = 1 THEN '日報DataNo' ELSE {_LABEL} END AS matching_key, CASE WHEN n1 > 1 AND n4 = 1 THEN 1 WHEN n1 > 0 THEN n1 WHEN n2 > 0 THEN n2 ELSE n3 END AS n, "
+    "CASE WHEN n1 > 1 AND n4 = 1 THEN l4 WHEN n1 > 0 THEN CASE WHEN n1 = 1 THEN l1 END WHEN n2 > 0 THEN CASE WHEN n2 = 1 THEN l2 END WHEN n3 = 1 THEN l3 END AS lid FROM c4) "
+    "SELECT file_name, matching_key, n AS n_candidates, g.tablet_no AS matched_tablet_no FROM m LEFT JOIN ledger g ON m.lid = g.lid",
     "ambiguous_forms": _PLAIN + "SELECT file_name, matching_key, n FROM j WHERE n > 1",
     "unmatched_forms": _PLAIN + "SELECT file_name FROM j WHERE n = 0",
     "field_diffs": _PLAIN + "SELECT file_name, label AS field, form_value, csv_value FROM (" + _unpivot("未読取", True) + ")",

@@ -16,7 +16,7 @@ from tallyloom.plans import reconcile as R
 from tallyloom.sinks import writers as W
 from tallyloom.sources.readers import read_csv, read_forms, read_ledger, read_pages
 from tallyloom.streaming.forms import reconcile_stream, running_counts, stream_forms
-from tests.golden import FORMS_CSV, LEDGER_CSV, form_row, ledger_row
+from tests.golden import FORMS_CSV, LEDGER_CSV, form_row, ledger_row, load_sample
 
 
 def forms_of(spark, rows):
@@ -85,6 +85,10 @@ def test_views(golden):
     assert R.point(golden, golden.where("file_name = 'task_1.pdf'").first().seq).first().label == "task_1.pdf - 要確認"
 
 
+def test_sample(spark, golden):
+    assert R.reconcile(*load_sample(spark)).select("file_name", "status").exceptAll(golden.select("file_name", "status")).count() == 0
+
+
 def test_empty_inputs(spark):
     forms, ledger = forms_of(spark, []), ledger_of(spark, [])
     res = R.reconcile(forms, ledger)
@@ -130,6 +134,8 @@ def test_ambiguity_counts_equal_rows_and_stops(spark):
     rows = [{"daily_report_no": "k", "tablet_no": "t"}, {"daily_report_no": "k", "tablet_no": "u"}]
     assert one(spark, same, rows).matching_key == S.BY_NUMBER_MANY
     assert one(spark, same, rows, policy="fallthrough").stage == "tablet"
+    narrowed = one(spark, same, rows, policy="narrow")
+    assert (narrowed.matching_key, narrowed.r.tablet_no) == (S.BY_NUMBER, "t") and one(spark, {"daily_report_no": "k"}, rows, policy="narrow").matching_key == S.BY_NUMBER_MANY
 
 
 def test_review_keeps_the_row_but_no_differences(spark):
