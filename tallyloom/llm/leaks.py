@@ -24,8 +24,8 @@ from tallyloom.tables import materialize
 
 #: Letters of a term.
 TERM = 10
-#: Passages whose terms are held by every worker at once; more of them are taken in blocks.
-BLOCK = 20_000
+#: Letters of the passages whose terms a worker holds at once, at most 8 bytes each, and 24 in the table of looked-up terms; more are taken in blocks.
+BLOCK = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,14 +111,14 @@ def find_leaks(
     * Extra columns are ignored.  Empty tables give no row.
 
     The passages are a stated query set that doesn't grow with the corpus; they are taken in blocks of
-    ``BLOCK``, so what a worker holds is bounded.  Hits are counted per (document, item) before anything is
+    ``BLOCK`` letters, so what a worker holds is bounded.  Hits are counted per (document, item) before anything is
     shuffled wide, and only pairs whose hits could reach the share get their text read again.
     """
     if run < 2 * TERM - 1:
         raise ValueError(f"runs shorter than {2 * TERM - 1} letters aren't met by the index")
     spark = docs.sparkSession
     texts = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(passage).cast("string").alias("passage")).where("item IS NOT NULL AND passage IS NOT NULL").dropDuplicates(["item"])
-    blocks = max(1, -(-texts.count() // BLOCK))
+    blocks = max(1, -(-(texts.agg(F.sum(F.length("passage"))).first()[0] or 0) // BLOCK))
     out = None
     for b in range(blocks):
         found = _block(spark, docs, doc_id, text, texts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b), share, run)

@@ -72,7 +72,8 @@ def _probe(cores: DataFrame) -> DataFrame:
 
 def _nearest(cores: DataFrame, persons: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``place, core, person`` for cores with one nearest person."""
-    hits = _probe(cores).join(_index(persons, lexicon), ["place", "key"])
+    # the index is many times its persons, which Spark's estimate doesn't know: it must not be broadcast
+    hits = _probe(cores).join(_index(persons, lexicon).hint("merge"), ["place", "key"])
     far = F.lit(99)
 
     def distance(c: str):

@@ -92,8 +92,9 @@ def resolve_places(texts: DataFrame, text: str, places: DataFrame, name: str, le
     same = written.join(known, written["written"] == known["place"], "left")
     exact = same.where("place IS NOT NULL").select("written", "place")
     other = same.where("place IS NULL").select("written")
+    # the index is many times its places, which Spark's estimate doesn't know: it must not be broadcast
     found = other.mapInPandas(probe, "written STRING, plain STRING, key STRING").join(
-        known.mapInPandas(index, "place STRING, form STRING, cost INT, key STRING"), "key"
+        known.mapInPandas(index, "place STRING, form STRING, cost INT, key STRING").hint("merge"), "key"
     )
     found = found.where((F.col("key") == F.col("form")) | (F.levenshtein("plain", "form", 1) >= 0)).select("written", "place", "cost")
     nearest = found.groupBy("written").agg(
