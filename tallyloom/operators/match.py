@@ -113,7 +113,8 @@ def cascade(forms: DataFrame, ledger: DataFrame, policy: str = "stop", style: st
     only = F.col("n_candidates") == 1
     decided = decided.select(
         "_f", "stage", "n_candidates", label.otherwise(S.NOT_FOUND).alias("matching_key"),
-        F.when(only, pick(lambda s, i: F.col(f"h1_{i}"))).alias("w1"), F.when(only, pick(lambda s, i: F.col(f"h2_{i}"))).alias("w2"),
+        # forms without a row get a key of their own, which spreads them over the partitions and equals no ledger row's
+        F.when(only, pick(lambda s, i: F.col(f"h1_{i}"))).otherwise(F.xxhash64(*[F.col("_f").getField(c) for c in S.KEYS])).alias("w1"), F.when(only, pick(lambda s, i: F.col(f"h2_{i}"))).alias("w2"),
     )
     rows = with_row_id(ledger).select("_h1", "_h2", F.struct(*[blank(F.col(c)).alias(c) for c in S.LEDGER]).alias("r"))
     found = decided.join(rows, (F.col("w1") == F.col("_h1")) & (F.col("w2") == F.col("_h2")), "left")

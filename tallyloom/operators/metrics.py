@@ -61,18 +61,19 @@ def status_rank(c: Column) -> Column:
     return F.when(c == S.MATCH, 1).when(c == S.MISMATCH, 2).otherwise(3)
 
 
-def report_items(results: DataFrame, order: list[str]) -> DataFrame:
-    """``status, item_no, file_name, matching_key``: numbered from 1 in each status, in input order.
+def report_items(results: DataFrame, seq: str = "seq", ties: tuple[str, ...] = ("file_name",), width: int = 1_000_000) -> DataFrame:
+    """``status, item_no, file_name, matching_key``: numbered from 1 in each status, in input order; a null ``seq`` comes first.
 
-    The number needs no single sorted group: rows are range-partitioned by (status, order), counted
-    per partition, and numbered by the counts of the partitions before.
+    Rows are numbered within stretches of ``width`` places of the input, and each stretch starts behind the
+    counts of those before it, so no task sorts a whole status.  The stretches follow from ``seq`` alone and
+    are the same in every evaluation.
     """
-    ranked = results.withColumn("_r", status_rank(F.col("status")))
-    parts = ranked.repartitionByRange("_r", *order).sortWithinPartitions("_r", *order).withColumn("_p", F.spark_partition_id())
-    within = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p", "_r").orderBy(*order)))
-    sizes = parts.groupBy("_r", "_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.partitionBy("_r").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    return within.join(F.broadcast(before), ["_r", "_p"]).select("status", (F.col("_i") + F.col("_b")).alias("item_no"), "file_name", "matching_key")
+    placed = results.select("status", "file_name", "matching_key", F.col(seq).alias("_seq"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)], F.coalesce(F.floor(F.col(seq) / width), F.lit(-1)).alias("_b"))
+    within = placed.withColumn("_i", F.row_number().over(Window.partitionBy("status", "_b").orderBy("_seq", *[f"_t{i}" for i in range(len(ties))])))
+    sizes = placed.groupBy("status", "_b").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("status").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("status", "_b", F.coalesce(before, F.lit(0)).alias("_s"))
+    return within.join(starts, ["status", "_b"]).select("status", (F.col("_i") + F.col("_s")).alias("item_no"), "file_name", "matching_key")
 
 
 def summary_by(results: DataFrame, *columns: str) -> DataFrame:

@@ -161,7 +161,7 @@ def status_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the report numbered within their status; identical resends follow one another."""
-    return M.report_items(_results(spark, sf_dir), ["seq", "file_name"])
+    return M.report_items(_results(spark, sf_dir))
 
 
 def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,8 @@ def test_golden_metrics(golden):
     assert (k.total, k.pct_match, k.pct_mismatch, k.pct_review) == (17, 64, 23, 11)
     m = M.success_metrics(golden.withColumn("CSV_found", F.col("r").isNotNull())).first()
     assert (m.report_matched, m.auto_identified, m.candidate_found, m.runner_success) == (15, 15, 16, 16)
-    items = {(r.status, r.item_no): r.file_name for r in M.report_items(golden, ["seq"]).collect()}
+    items = {(r.status, r.item_no): r.file_name for r in M.report_items(golden).collect()}
+    assert items == {(r.status, r.item_no): r.file_name for r in M.report_items(golden, width=3).collect()}
     assert items[(S.MATCH, 1)] == "report_01.pdf" and items[(S.MATCH, 2)] == "report_06.pdf" and items[(S.REVIEW, 2)] == "task_2b.pdf" and len(items) == 17
 
 
