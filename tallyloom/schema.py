@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
+# Statuses, matching keys, messages, and the columns of inputs and outputs.
 MATCH, MISMATCH, REVIEW = "一致", "不一致", "要確認"
 STATUSES = [MATCH, MISMATCH, REVIEW]
 

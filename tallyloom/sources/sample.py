@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyloom import schema as S
 from tallyloom.plans.reconcile import as_forms, as_ledger
 
+# The rows of the sample.
 LEDGER_CSV = "\n".join(
     [",".join(S.LEDGER)]
     + [
