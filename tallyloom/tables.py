@@ -46,3 +46,13 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, where its input has fewer splits than there are cores.
+
+    For work that takes far longer than reading: a small input then costs one shuffle and
+    uses the whole cluster, a large one stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
