@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.tables import materialize
+from tallyloom.tables import materialize, spread
 
 #: Letters of a term.
 TERM = 10
@@ -82,7 +82,7 @@ def postings(docs: DataFrame, doc_id: str, text: str, vocabulary: np.ndarray) ->
                 yield pd.DataFrame({"doc": np.concatenate(ids), "term": np.concatenate(terms), "pos": np.concatenate(places)})
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    return source.mapInPandas(index, "doc BIGINT, term BIGINT, pos INT")
+    return spread(source, "doc").mapInPandas(index, "doc BIGINT, term BIGINT, pos INT")
 
 
 def covered(doc: np.ndarray, passage: np.ndarray, diagonals: list[int], run: int) -> int:
