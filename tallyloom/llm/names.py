@@ -69,6 +69,11 @@ def romaji(kana: str) -> str:
     return "".join(out)
 
 
+def squeeze(text: str) -> str:
+    """Doubled letters joined."""
+    return re.sub(r"(.)\1+", r"\1", text)
+
+
 @lru_cache(200_000)
 def skeleton(latin: str) -> str:
     """Latin letters of a name in one spelling: lower case, one romanisation, no doubled letters."""
@@ -80,7 +85,7 @@ def skeleton(latin: str) -> str:
     s = re.sub(r"ti", "chi", s)
     s = re.sub(r"tu", "tsu", s)
     s = re.sub(r"zi|di", "ji", s)
-    return re.sub(r"(.)\1+", r"\1", s)
+    return squeeze(s)
 
 
 @dataclass(frozen=True)
@@ -145,8 +150,8 @@ def core_of(text: str) -> tuple[str, str]:
     whole = "".join(parts)
     if re.search("[A-Za-z]", whole) and not re.search("[ぁ-ヺ一-鿿]", whole):
         parts = [p for p in parts if p.lower() not in LATIN_TITLES] or parts
-        plain = [re.sub(r"(.)\1+", r"\1", re.sub("[^a-z]", "", p.lower())) for p in parts]
-        return "".join(skeleton(p) for p in parts), "".join(plain)
+        plain = [re.sub("[^a-z]", "", p.lower()) for p in parts]
+        return squeeze("".join(skeleton(p) for p in parts)), squeeze("".join(plain))
     whole = "".join(VARIANTS.get(c, c) for c in whole)
     bare = re.sub(rf"(?:{_HONOR}|(?<=..)(?:{_ROLE}))$", "", whole)
     core = to_katakana(bare or whole)
@@ -175,7 +180,7 @@ def renderings(surname: str, given: str, lexicon: Lexicon) -> list[tuple[str, st
         ("j", surname + given, 1), ("j", given + surname, 1), ("j", surname + kg, 1), ("j", kg + surname, 1), ("j", ks + given, 1),
         ("j", surname + given[0], 0), ("j", surname, 0),
         ("a", ks + kg, 1), ("a", kg + ks, 1), ("a", ks, 0), ("a", kg, 0),
-        ("l", rs + rg, 2), ("l", rg + rs, 2), ("l", rs, 0), ("l", rs + rg[0], 0), ("l", rg[0] + rs, 0), ("l", rg, 0),
+        ("l", squeeze(rs + rg), 2), ("l", squeeze(rg + rs), 2), ("l", rs, 0), ("l", squeeze(rs + rg[0]), 0), ("l", squeeze(rg[0] + rs), 0), ("l", rg, 0),
     ]
     if called:
         out += [("j", surname + called, 0), ("a", called, 0), ("a", ks + called, 0), ("l", r_called, 0)]

@@ -100,8 +100,10 @@ def _readable(cores: DataFrame, lexicon: Lexicon) -> DataFrame:
             rows = []
             for place, core, kind in zip(batch["place"], batch["core"], batch["kind"], strict=True):
                 first, last = (heads, tails) if kind == "a" else (latin_heads, latin_tails)
-                for i in range(1, len(core)):
-                    a, b = core[:i], core[i:]
+                for i, j in [(i, j) for i in range(1, len(core)) for j in (i, i - 1)]:  # parts may share a joined letter
+                    a, b = core[:i], core[j:]
+                    if i != j and kind != "l":
+                        continue
                     pair = (first[a], last[b]) if a in first and b in last else (first[b], last[a]) if b in first and a in last else None
                     if pair:
                         rows.append((place, *pair))

@@ -52,6 +52,7 @@ def people(spark, rows):
 
 def test_spellings_of_a_store(spark):
     hisae = ["前倉久江", "前倉　久江", "久江 前倉", "前倉さん久江", "まえくら ひさえ", "ﾏｴｸﾗﾋｻｴ", "MAEKURA, Hisae", "Hisae Maekua", "前食久江", "前倉ひさえ"]
+    assert core_of("Takahama Ayaichi")[0] == core_of("takahamaayaichi")[0]
     tetsuya = ["黒口徹也", "黒徹也", "黒口てつや", "Tetsuya Kuroguchi", "Kuroguchi T.", "黒口主任", "テツさん", "黑口徹也", "クログテ テツヤ", "kuroguchi​tetuya"]
     yuusuke = ["岩木悠介", "岩本悠介"]
     rows = [("A", n, "x", "y") for n in hisae[:3] + hisae[4:] + tetsuya + yuusuke] + [("A", "前倉久人", "x", "y"), ("A", "ヒサさん", "x", "y"), ("A", "前倉さん", "x", "y"), ("B", "テツさん", "x", "y"), ("A", "黒口徹也", "x", "y")]
