@@ -68,4 +68,5 @@ def with_status(matched: DataFrame, mode: str = "csv") -> DataFrame:
 
 def totals_agree(tally: Column, total: Column, parts: Column) -> Column:
     """Whether a tally, a printed total and the sum of its parts agree; null if any of them is missing."""
-    return (tally == total) & (total == F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    summed = F.aggregate(parts, F.lit(0).cast("double"), lambda a, x: a + x)
+    return F.when(tally.isNotNull() & total.isNotNull() & summed.isNotNull(), (tally == total) & (total == summed))

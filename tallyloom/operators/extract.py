@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom import schema as S
-from tallyloom.functions.text import blank, to_real, to_whole, trim_u
+from tallyloom.functions.text import blank, list_repr, to_real, to_whole, trim_u
 
 _TEXT = ["date", "store", "name", "data_no", "tab_no", "notes"]
 
@@ -63,7 +63,7 @@ def page_status(extracted: DataFrame) -> DataFrame:
     """Adds ``page_status``: ok with both numbers and no error, else the error, else partial."""
     error = blank(F.col("error"))
     both = (blank(F.col("data_no")) != "") & (blank(F.col("tab_no")) != "")
-    text = F.when((error == "") & both, "[OK] Success").when(error != "", F.concat(F.lit("[ERROR] "), error)).otherwise("[WARN] Partial (missing DataNo or TabNo)")
+    text = F.when((error == "") & both, S.PAGE_OK).when(error != "", F.concat(F.lit(S.PAGE_ERROR), error)).otherwise(S.PAGE_PARTIAL)
     return extracted.withColumn("page_status", text)
 
 
@@ -75,3 +75,15 @@ def page_success(pages: DataFrame) -> DataFrame:
 def page_name(n: Column) -> Column:
     """``page_01`` for 1."""
     return F.format_string("page_%02d", n)
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """The 13 text columns of the page file: lists as ``['a', 'b']``, null and absent columns blank."""
+    kinds = dict(pages.dtypes)
+
+    def shown(c: str) -> Column:
+        if c not in kinds:
+            return F.lit("")
+        return list_repr(F.col(c)) if kinds[c].startswith("array") else blank(F.col(c).cast("string"))
+
+    return pages.select(*[shown(c).alias(c) for c in S.PAGE])

@@ -1,10 +1,10 @@
 """Prioritised matching of forms with ledger rows, with detection of ambiguous keys.
 
-Each key of the ledger is reduced to an index of one row per key value: the number of
-rows and the id of the only one.  The index is unique, so a join never multiplies forms,
+The keys of the ledger are reduced to one index with a row per stage and key value: the number
+of rows and the id of the only one.  The index is unique, so a join never multiplies forms,
 and it is built with partial aggregation, so a hot key is one row after the map side.
-The row id is a 128-bit hash of the row: deterministic under recomputation, and looked
-up only where its key value is unique.
+Keys and row ids are 128-bit hashes: of fixed width, deterministic under recomputation, and
+a row is looked up only where its key value is unique.
 """
 
 from __future__ import annotations
@@ -42,30 +42,44 @@ def with_row_id(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("_h1", F.xxhash64(*cols)).withColumn("_h2", F.xxhash64(F.lit("second"), *reversed(cols)))
 
 
-def key_index(ledger: DataFrame, name: str, keys: list[Column]) -> DataFrame:
-    """``k_<name>_<i>..., n_<name>, h1_<name>, h2_<name>``: one row for each key value.  Identical ledger rows count each."""
-    named = [k.alias(f"k_{name}_{i}") for i, k in enumerate(keys)]
-    rows = ledger.select(*named, "_h1", "_h2")
-    for i in range(len(keys)):
-        rows = rows.where(F.col(f"k_{name}_{i}").isNotNull())
-    return rows.groupBy(*[f"k_{name}_{i}" for i in range(len(keys))]).agg(
-        F.count("*").alias(f"n_{name}"), F.min("_h1").alias(f"h1_{name}"), F.min("_h2").alias(f"h2_{name}")
-    )
+def _stage_key(number: int, parts: list[Column]) -> list[Column]:
+    """A stage's key as ``stage, k1, k2``: its number and 128 bits of hash; stage is null where the stage doesn't apply."""
+    there = F.lit(True)
+    for p in parts:
+        there = there & p.isNotNull()
+    return [F.when(there, F.lit(number)).alias("stage"), F.xxhash64(F.lit(number), *parts).alias("k1"), F.xxhash64(F.lit("second"), *reversed(parts), F.lit(number)).alias("k2")]
+
+
+def key_index(ledger: DataFrame, keys: dict[str, list[Column]]) -> DataFrame:
+    """``stage, k1, k2, n, h1, h2``: one row for each key value of each stage, from one scan.  Identical ledger rows count each."""
+    each = F.array(*[F.struct(*_stage_key(i, parts)) for i, parts in enumerate(keys.values())])
+    rows = with_row_id(ledger).select("_h1", "_h2", F.inline(each)).where(F.col("stage").isNotNull())
+    return rows.groupBy("stage", "k1", "k2").agg(F.count("*").alias("n"), F.min("_h1").alias("h1"), F.min("_h2").alias("h2"))
+
+
+def _spread_by(forms: DataFrame) -> Column:
+    """A hash of all that a form holds, to spread forms that look for nothing."""
+    return F.xxhash64(*[F.col(f.name) for f in forms.schema.fields if "map<" not in f.dataType.simpleString()])
 
 
 def _counted(forms: DataFrame, ledger: DataFrame, stages: tuple[str, ...], style: str) -> DataFrame:
-    """``_f`` (all columns of a form), and for each stage ``n_``, ``h1_`` and ``h2_``.  Nothing of a form can clash with them."""
-    keys = stage_keys(style)
-    ledger = with_row_id(ledger)
-    probes = [k.alias(f"f_{name}_{i}") for name in stages for i, k in enumerate(keys[name])]
-    out = forms.select(F.struct("*").alias("_f"), *probes)
+    """``_f`` (all columns of a form), ``_any`` (its hash), and for each stage ``n_``, ``h1_`` and ``h2_``.  Nothing of a form can clash with them.
+
+    All stages join the same index, whose exchange Spark reuses, so the ledger is read and shuffled once for all of them.
+    A form that a stage doesn't apply to looks there for a stage of no row, under a hash of its own.
+    """
+    keys = {name: stage_keys(style)[name] for name in stages}
+    index = key_index(ledger, keys)
+    probes = []
+    for i, (name, parts) in enumerate(keys.items()):
+        stage, k1, k2 = _stage_key(i, parts)
+        probes += [F.coalesce(stage, F.lit(-1)).alias(f"f_{name}"), F.when(stage.isNull(), _spread_by(forms)).otherwise(k1).alias(f"f1_{name}"), k2.alias(f"f2_{name}")]
+    out = forms.select(F.struct("*").alias("_f"), _spread_by(forms).alias("_any"), *probes)
     for name in stages:
-        index = key_index(ledger, name, keys[name])
-        on = F.col(f"f_{name}_0") == F.col(f"k_{name}_0")
-        for i in range(1, len(keys[name])):
-            on = on & (F.col(f"f_{name}_{i}") == F.col(f"k_{name}_{i}"))
-        out = out.join(index, on, "left").withColumn(f"n_{name}", F.coalesce(F.col(f"n_{name}"), F.lit(0)))
-    return out.select("_f", *[f"{p}_{name}" for name in stages for p in ("n", "h1", "h2")])
+        named = index.select(F.col("stage").alias("_s"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n").alias("_n"), F.col("h1").alias(f"h1_{name}"), F.col("h2").alias(f"h2_{name}"))
+        on = (F.col(f"f_{name}") == F.col("_s")) & (F.col(f"f1_{name}") == F.col("_k1")) & (F.col(f"f2_{name}") == F.col("_k2"))
+        out = out.join(named, on, "left").withColumn(f"n_{name}", F.coalesce("_n", F.lit(0))).drop("_s", "_k1", "_k2", "_n")
+    return out.select("_f", "_any", *[f"{p}_{name}" for name in stages for p in ("n", "h1", "h2")])
 
 
 def _unpacked(forms: DataFrame, added: list[str]) -> list[Column]:
@@ -114,7 +128,7 @@ def cascade(forms: DataFrame, ledger: DataFrame, policy: str = "stop", style: st
     decided = decided.select(
         "_f", "stage", "n_candidates", label.otherwise(S.NOT_FOUND).alias("matching_key"),
         # forms without a row get a key of their own, which spreads them over the partitions and equals no ledger row's
-        F.when(only, pick(lambda s, i: F.col(f"h1_{i}"))).otherwise(F.xxhash64(*[F.col("_f").getField(c) for c in S.KEYS])).alias("w1"), F.when(only, pick(lambda s, i: F.col(f"h2_{i}"))).alias("w2"),
+        F.when(only, pick(lambda s, i: F.col(f"h1_{i}"))).otherwise(F.col("_any")).alias("w1"), F.when(only, pick(lambda s, i: F.col(f"h2_{i}"))).alias("w2"),
     )
     rows = with_row_id(ledger).select("_h1", "_h2", F.struct(*[blank(F.col(c)).alias(c) for c in S.LEDGER]).alias("r"))
     found = decided.join(rows, (F.col("w1") == F.col("_h1")) & (F.col("w2") == F.col("_h2")), "left")
@@ -123,23 +137,8 @@ def cascade(forms: DataFrame, ledger: DataFrame, policy: str = "stop", style: st
 
 
 def unmatched(forms: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Forms without a candidate at any stage."""
-    out = forms
-    for keys in [stage_keys()[s] for s in STAGES]:
-        right = ledger.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).distinct()
-        on = keys[0] == F.col("k0")
-        for i, k in enumerate(keys[1:], 1):
-            on = on & (k == F.col(f"k{i}"))
-        left = out.select("*")
-        out = _anti(left, right, keys)
-    return out
-
-
-def _anti(left: DataFrame, right: DataFrame, keys: list[Column]) -> DataFrame:
-    named = left
-    on = None
-    for i, k in enumerate(keys):
-        named = named.withColumn(f"f{i}", k)
-        same = F.col(f"f{i}") == F.col(f"k{i}")
-        on = same if on is None else on & same
-    return named.join(right, on, "left_anti").drop(*[f"f{i}" for i in range(len(keys))])
+    """Forms without a candidate at any stage.  Repeated forms stay repeated."""
+    none = F.lit(True)
+    for s in STAGES:
+        none = none & (F.col(f"n_{s}") == 0)
+    return _counted(forms, ledger, STAGES, "exact").where(none).select(*_unpacked(forms, []))

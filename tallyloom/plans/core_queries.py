@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom import schema as S
-from tallyloom.functions.text import join_list, norm_tablet
+from tallyloom.functions.text import blank, join_list, list_repr, norm_tablet
 from tallyloom.operators import metrics as M
 from tallyloom.operators.copies import compare_copies
 from tallyloom.operators.count_match import match_counts
-from tallyloom.operators.extract import normalize_extraction, page_name, page_status, page_success, parse_response, to_forms
+from tallyloom.operators.diff import totals_agree
+from tallyloom.operators.extract import normalize_extraction, page_name, page_rows, page_status, page_success, parse_response, to_forms
 from tallyloom.operators.match import cascade, count_candidates, unmatched
 from tallyloom.operators.packed import explode_packed
 from tallyloom.plans import core_sql
 from tallyloom.plans import reconcile as R
-from tallyloom.tables import table
+from tallyloom.sinks.writers import write_csv
+from tallyloom.sources.readers import read_csv, read_forms, read_ledger
+from tallyloom.tables import shared_path, table
 
 
 def p3_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,10 +224,78 @@ def correction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.correction_rows(_results(spark, sf_dir))
 
 
+def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same values with the mark of those whose quote or bracket has no partner."""
+    found = explode_packed(table(spark, sf_dir, "form_readings"), "reading_id", "left_totals", "right_totals")
+    return found.select("reading_id", "field", F.col("pos").cast("int").alias("pos"), "item", "malformed")
+
+
+def triangle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first left total of a ledger row is also its first right total and the sum of the other left ones."""
+    n = {c: F.col(c).try_cast("double") for c in [*S.LEFT, *S.RIGHT]}
+    agree = totals_agree(n["left_total_1"], n["right_total_1"], F.array(n["left_total_2"], n["left_total_3"]))
+    return table(spark, sf_dir, "ledger_records").select("record_id", agree.alias("agree"))
+
+
+def report_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items in the order of the report, with the place of their status."""
+    items = M.report_items(_results(spark, sf_dir))
+    return M.in_order(items).select(M.status_rank(F.col("status")).alias("group_no"), "status", "item_no", "file_name")
+
+
+def report_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the report with their shares to one decimal."""
+    return M.report_shares(_results(spark, sf_dir))
+
+
+def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the console summary."""
+    return M.summary_lines(_results(spark, sf_dir))
+
+
+def point_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results at place 100 of the input, with their label; a point is what is asked for."""
+    return R.point(_results(spark, sf_dir), 100).select("seq", "label", "matching_key")
+
+
+def totals_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left totals of each form as the text of a list."""
+    return _forms(spark, sf_dir).select("file_name", list_repr(F.col("left_totals")).alias("left_repr"))
+
+
+def forms_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms written as CSV and read from there."""
+    path = shared_path(spark)
+    write_csv(table(spark, sf_dir, "form_readings").select(*S.FORM_TEXT), path)
+    return read_forms(spark, path).select("file_name", *S.KEYS, join_list(F.col("left_totals")).alias("left_totals"), join_list(F.col("right_totals")).alias("right_totals"), "needs_review")
+
+
+def ledger_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows written as CSV and read from there."""
+    path = shared_path(spark)
+    write_csv(table(spark, sf_dir, "ledger_records").select(*S.LEDGER), path)
+    return read_ledger(spark, path).select(*S.LEDGER)
+
+
+def results_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result file as it stands in CSV; blank cells are empty texts."""
+    path = shared_path(spark)
+    write_csv(R.result_rows(_results(spark, sf_dir)), path)
+    return read_csv(spark, path, S.RESULT).select(*[blank(F.col(c)).alias(c) for c in S.RESULT])
+
+
+def pages_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page file as it stands in CSV, ``filename`` as in the table."""
+    path = shared_path(spark)
+    write_csv(page_rows(_extracted(spark, sf_dir).withColumnRenamed("file_name", "filename")), path)
+    return read_csv(spark, path, S.PAGE).select(*[blank(F.col(c)).alias(c) for c in S.PAGE])
+
+
 _MATCHING = [cascade_match, cascade_fallthrough, cascade_narrow, ambiguous_forms, unmatched_forms, field_diffs, reconcile_full, reconcile_export, reconcile_pdf_mode]
-_REPORTS = [status_counts, kpi_cards, success_metrics, status_by_key, report_items, result_table, detail_unpivot, store_status_summary, correction_rows]
-_READING = [forms_scan, ledger_scan, tablet_normalize, totals_parse, parse_responses, normalize_extractions, engine_b_match, page_statuses, page_success_ratio, preview_head]
-QUERIES = {f.__name__: f for f in [p3_found, p5_found, *_READING, *_MATCHING, *_REPORTS]} | {
+_REPORTS = [status_counts, kpi_cards, success_metrics, status_by_key, report_items, result_table, detail_unpivot, store_status_summary, correction_rows, report_ordered, report_shares, summary_lines, point_result]
+_READING = [forms_scan, ledger_scan, tablet_normalize, totals_parse, parse_responses, normalize_extractions, engine_b_match, page_statuses, page_success_ratio, preview_head, triangle_check, totals_repr]
+_FILES = [forms_csv_roundtrip, ledger_csv_roundtrip, results_csv_roundtrip, pages_csv_roundtrip]
+QUERIES = {f.__name__: f for f in [p3_found, p5_found, p5_flags, *_READING, *_MATCHING, *_REPORTS, *_FILES]} | {
     "match_data_no": _candidates("number"), "match_tablet_no": _candidates("tablet"), "match_composite": _candidates("composite"),
 }
 

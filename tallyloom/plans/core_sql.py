@@ -175,7 +175,35 @@ def _share(s: str) -> str:
     return f"CAST(floor(CAST(count(*) FILTER (status = '{s}') AS DOUBLE) / count(*) * 100.0) AS BIGINT)"
 
 
+def _one_decimal(n: str) -> str:
+    return f"printf('%.1f', CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE CAST({n} AS DOUBLE) / CAST(total AS DOUBLE) * 100.0 END)"
+
+
+_COUNTED_STATUS = (
+    "k AS (SELECT count(*) AS total, count(*) FILTER (status = '一致') AS a, count(*) FILTER (status = '不一致') AS b, count(*) FILTER (status = '要確認') AS c, "
+    "count(*) FILTER (matching_key <> '見つかりませんでした') AS found FROM res)"
+)
+_PAGE_TEXT = ["date", "store", "name", "data_no", "tab_no"]
+
 SQL = {
+    "triangle_check": "SELECT record_id, CASE WHEN l1 IS NOT NULL AND r1 IS NOT NULL AND l2 + l3 IS NOT NULL THEN l1 = r1 AND r1 = l2 + l3 END AS agree FROM (SELECT record_id, "
+    + ", ".join(f"TRY_CAST({c} AS DOUBLE) AS {n}" for n, c in (("l1", "left_total_1"), ("l2", "left_total_2"), ("l3", "left_total_3"), ("r1", "right_total_1")))
+    + " FROM ledger_records)",
+    "totals_repr": f"WITH {FORMS} SELECT file_name, CASE WHEN len(lt) > 0 THEN '[' || chr(39) || array_to_string(lt, chr(39) || ', ' || chr(39)) || chr(39) || ']' ELSE '' END AS left_repr FROM forms",
+    "report_ordered": _BASE + f"SELECT {_RANK} AS group_no, status, row_number() OVER (PARTITION BY {_RANK} ORDER BY seq, file_name) AS item_no, file_name FROM res",
+    "report_shares": _BASE.rstrip() + f", {_COUNTED_STATUS} "
+    + " UNION ALL ".join(f"SELECT '{label}' AS label, {n} AS n, {_one_decimal(n)} AS share FROM k" for label, n in (("計", "total"), ("一致", "a"), ("不一致", "b"), ("要確認", "c"), ("マッチング成功", "(a + b)"), ("マッチング失敗（要確認）", "c"))),
+    "summary_lines": _BASE.rstrip() + f", {_COUNTED_STATUS}, shown AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS place, '{label}: ' || {n} || ' (' || {_one_decimal(n)} || '%)' AS line FROM k WHERE {n} > 0" for i, (label, n) in enumerate((("一致", "a"), ("不一致", "b"), ("要確認", "c"))))
+    + f" UNION ALL SELECT 3, '候補あり: ' || found || '/' || total || ' (' || {_one_decimal('found')} || '%)' FROM k) SELECT row_number() OVER (ORDER BY place) AS line_no, line FROM shown",
+    "point_result": _BASE + "SELECT seq, file_name || ' - ' || status AS label, matching_key FROM res WHERE seq = 100",
+    "forms_csv_roundtrip": f"WITH {FORMS} SELECT file_name, {', '.join(_KEYS)}, array_to_string(lt, '/') AS left_totals, array_to_string(rt, '/') AS right_totals, needs_review FROM forms",
+    "ledger_csv_roundtrip": f"WITH {LEDGER} SELECT {', '.join(_LEDGER)} FROM ledger",
+    "results_csv_roundtrip": _BASE + "SELECT " + _named(["file_name", "matching_key", *(f"帳票_{c}" for c in _SEVEN), *(f"CSV_{c}" for c in _SEVEN), "status", "differences", "review_reasons"]) + " FROM res",
+    "pages_csv_roundtrip": f"WITH {_PAGES}, {_TYPED} SELECT coalesce(CAST(page_number AS VARCHAR), '') AS page_number, "
+    + ", ".join(f"coalesce({c}, '') AS {c}" for c in _PAGE_TEXT)
+    + ", coalesce(CAST(count AS VARCHAR), '') AS count, coalesce(CAST(total AS VARCHAR), '') AS total, coalesce(notes, '') AS notes, '' AS left_totals, '' AS right_totals, "
+    "CASE WHEN is_error THEN 'the answer is no JSON object' ELSE '' END AS error, coalesce(file_name, '') AS filename FROM typed",
     "forms_scan": f"WITH {FORMS} SELECT file_name, {', '.join(_KEYS)}, array_to_string(lt, '/') AS left_totals, array_to_string(rt, '/') AS right_totals, needs_review FROM forms",
     "ledger_scan": f"WITH {LEDGER} SELECT {', '.join(_KEYS)}, concat_ws('/', left_total_1, left_total_2, left_total_3) AS left_totals, concat_ws('/', right_total_1, right_total_2) AS right_totals FROM ledger",
     "tablet_normalize": f"SELECT DISTINCT tablet_no, {_norm('tablet_no')} AS norm FROM form_readings",

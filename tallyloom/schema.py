@@ -13,6 +13,8 @@ BY_NUMBER_MANY, BY_TABLET_MANY, BY_COMPOSITE_MANY = "日報DataNo（複数候補
 NOT_FOUND = "見つかりませんでした"
 
 UNREAD = "未読取"
+MATCHED, UNMATCHED, WITH_CANDIDATE = "マッチング成功", "マッチング失敗（要確認）", "候補あり"
+PAGE_OK, PAGE_ERROR, PAGE_PARTIAL = "[OK] Success", "[ERROR] ", "[WARN] Partial (missing DataNo or TabNo)"
 NO_RECORD = "CSV内に対応するレコードが見つかりません"
 TOTALS_UNREAD = "帳票合計欄の読み取り未対応または未取得のため、確認が必要です"
 
@@ -39,6 +41,7 @@ RESPONSE_SCHEMA = StructType([StructField(c, StringType()) for c in RESPONSE])
 RESULT = ["file_name", "matching_key", *(f"帳票_{c}" for c in [*KEYS, "left_totals", "right_totals"]), *(f"CSV_{c}" for c in [*KEYS, "left_totals", "right_totals"]), "status", "differences", "review_reasons"]
 _SHORT = ["日付", "店舗", "スタッフ", "DataNo", "TabNo", "左下合計", "右下合計"]
 EXPORT = ["ファイル", "マッチング方式", *(f"帳票_{c}" for c in _SHORT), *(f"CSV_{c}" for c in _SHORT), "ステータス", "差分内容", "確認理由"]
+REPORT_FIELDS = ["日付", "店舗名", "氏名", "日報DataNo", "タブレットNo", "左下合計", "右下合計"]
 #: Compared fields in the order of their messages: label, form field, ledger field.
 FIELDS = [("日報DataNo", "daily_report_no"), ("タブレットNo", "tablet_no"), ("日付", "date"), ("店舗名", "store_name"), ("氏名", "staff_name"), ("左下合計欄", "left_totals"), ("右下合計欄", "right_totals")]
 PAGE = ["page_number", "date", "store", "name", "data_no", "tab_no", "count", "total", "notes", "left_totals", "right_totals", "error", "filename"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,25 @@ task_2b.pdf,2026-04-20,店舗01,担当01,9997,9Z~0000001,29/9/3,27/5,False
 FORMS_CSV = ",".join(S.FORM_TEXT) + "\n" + _FORMS
 
 
+# Answers for four pages (a match, another count, no report number, nothing to go by), and their ledger.
+_ANSWERS = [
+    ("2026-05-06", "渋谷店", "田中太郎", "001", "AB-01", 5, "12500"), ("2026-05-06", "新宿店", "山田花子", "002", "AB-02", 6, "15000"),
+    ("2026-05-06", "池袋店", "佐藤次郎", "", "CD-03", 3, "7500"), ("2026-05-06", "渋谷店", "佐藤三郎", "", "", None, ""),
+]
+_CRM = [
+    ("2026-05-06", "渋谷店", "田中太郎", "001", "AB-01", "5", "12500"), ("2026-05-06", "新宿店", "山田花子", "002", "AB-02", "5", "15000"),
+    ("2026-05-06", "池袋店", "佐藤次郎", "003", "CD-03", "3", "7500"),
+]
+CRM_COLUMNS = ["日付", "店舗名", "氏名", "日報データNo", "タブレットNo", "件数", "合計値"]
+
+
+def load_pages(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Four pages with their answers (``page_id, file_name, page_number, response_text``), and a ledger with counts for the second engine."""
+    keys = ["date", "store", "name", "data_no", "tab_no", "count", "total"]
+    pages = [(i, f"page_{i:02}.pdf", i, json.dumps(dict(zip(keys, a, strict=True)), ensure_ascii=False)) for i, a in enumerate(_ANSWERS, 1)]
+    return spark.createDataFrame(pages, "page_id BIGINT, file_name STRING, page_number INT, response_text STRING"), spark.createDataFrame(_CRM, ", ".join(f"`{c}` STRING" for c in CRM_COLUMNS))
+
+
 def _rows(text: str) -> list[tuple[str, ...]]:
     return [tuple(r) for r in csv.reader(io.StringIO(text))][1:]
 
