@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
-from tallyloom.llm.unify import make_unifier
+from tallyloom.llm.unify import BUILT_IN, make_unifier
 
 # Words that stand beside a name and don't belong to it.
 ROLES = (
@@ -39,6 +41,10 @@ _KANJI = re.compile(r"[一-鿿々]")
 _KANA = re.compile(r"[ァ-ヺー]")
 
 
+#: Letters from which on a name without a lexicon entry allows one edit, and two, by the way it is written.
+OWN_EDITS = {"j": (4, 12), "a": (5, 12), "l": (6, 12), "o": (5, 12)}
+
+
 def to_katakana(text: str) -> str:
     """Hiragana as katakana."""
     return "".join(chr(ord(c) + 0x60) if "ぁ" <= c <= "ゖ" else c for c in text)
@@ -74,10 +80,20 @@ def squeeze(text: str) -> str:
     return re.sub(r"(.)\1+", r"\1", text)
 
 
+# Latin letters that don't decompose, in plain ones.
+_STROKES = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h", "ŋ": "n", "ŧ": "t"})
+
+
+def bare_letters(text: str) -> str:
+    """Lower case, without accents and anything but letters."""
+    parts = unicodedata.normalize("NFD", text.casefold()).translate(_STROKES)
+    return unicodedata.normalize("NFC", "".join(c for c in parts if c.isalpha()))
+
+
 @lru_cache(200_000)
 def skeleton(latin: str) -> str:
     """Latin letters of a name in one spelling: lower case, one romanisation, no doubled letters."""
-    s = re.sub("[^a-z]", "", latin.lower().translate(str.maketrans("āīūēōâîûêô", "aiueoaiueo")))
+    s = re.sub("[^a-z]", "", bare_letters(latin))
     for a, b in _SPELLINGS:
         s = s.replace(a, b)
     s = re.sub(r"(?<![sc])hu", "fu", s)
@@ -131,40 +147,68 @@ def split_kanji(core: str, lexicon: Lexicon) -> tuple[str, str] | None:
 
 _ROLE = "|".join(sorted(map(re.escape, ROLES), key=len, reverse=True))
 _HONOR = "|".join(sorted(map(re.escape, HONORIFICS), key=len, reverse=True))
+#: An honorific at the end of a name, or a role behind two letters or more.
+_TAIL = f"(?:{_HONOR}|(?<=..)(?:{_ROLE}))$"
+_ASIAN = re.compile("[ぁ-ヺ一-鿿]")
 _BRACKET = re.compile(r"[(\[<【（]([^)\]>】）]*)[)\]>】）]")
 
 
-def core_of(text: str) -> tuple[str, str]:
-    """A canonical name without roles, honorifics and separators, and a second reading of it.
+class Core(NamedTuple):
+    """A name without what surrounds it, a second reading of it, and its parts turned round."""
+
+    core: str
+    alt: str
+    turned: str
+
+
+def core_of(text: str) -> Core:
+    """A canonical name without roles, honorifics and separators, a second reading, and the same with its last part first.
 
     Old kanji become the ordinary ones, hiragana katakana; a call name keeps no honorific
     either, so ``カズくん`` becomes ``カズ``.  Latin names become their skeleton, parts in the
     order given; their second reading has doubled letters joined but keeps the spelling,
-    as a slip may have made another syllable of it.  Else both are the same.
+    as a slip may have made another syllable of it.  Names in other scripts are their bare letters.
+    Else both are the same.
     """
     text = _BRACKET.sub(lambda m: " " if re.fullmatch(rf"(?:{_ROLE})+", m[1].strip()) else " " + m[1], text)
     text = re.sub(rf"^\s*(?:{_ROLE})\s*[::]\s*", "", text)
     parts = [p for p in re.split(r"[\s・/,.:;\-_'\"|]+", text) if p]
     kept = [p for p in parts if not re.fullmatch(rf"(?:{_ROLE})|(?:{_HONOR})", p)] if len(parts) > 1 else parts
     parts = kept or parts
-    whole = "".join(parts)
-    if re.search("[A-Za-z]", whole) and not re.search("[ぁ-ヺ一-鿿]", whole):
-        parts = [p for p in parts if p.lower() not in LATIN_TITLES] or parts
-        plain = [re.sub("[^a-z]", "", p.lower()) for p in parts]
-        return squeeze("".join(skeleton(p) for p in parts)), squeeze("".join(plain))
-    whole = "".join(VARIANTS.get(c, c) for c in whole)
-    bare = re.sub(rf"(?:{_HONOR}|(?<=..)(?:{_ROLE}))$", "", whole)
-    core = to_katakana(bare or whole)
-    return core, core
+    if not _ASIAN.search("".join(parts)):
+        latin = re.search("[a-z]", bare_letters("".join(parts))) is not None
+        if latin:
+            parts = [p for p in parts if p.lower() not in LATIN_TITLES] or parts
+        plain = [p for p in (re.sub("[^a-z]", "", bare_letters(p)) if latin else bare_letters(p) for p in parts) if p]
+        read = [skeleton(p) for p in plain] if latin else plain
+        shut = squeeze if latin else str
+        return Core(shut("".join(read)), shut("".join(plain)), shut("".join(read[-1:] + read[:-1])))
+    parts = ["".join(VARIANTS.get(c, c) for c in p) for p in parts]
+    bare = [re.sub(_TAIL, "", p) or p for p in parts[-1:]] if len("".join(parts)) > len(parts[-1]) else []
+    whole = to_katakana(re.sub(_TAIL, "", "".join(parts)) or "".join(parts))
+    return Core(whole, whole, to_katakana("".join(bare + parts[:-1])) if bare else whole)
 
 
 def kind_of(core: str) -> str:
-    """How a core is written: ``l`` Latin, ``a`` kana, ``j`` with kanji, the empty text for anything else."""
+    """How a core is written: ``l`` Latin, ``a`` kana, ``j`` with kanji, ``o`` in other letters, the empty text without any."""
     if _KANJI.search(core):
         return "j"
     if _KANA.search(core):
         return "a"
-    return "l" if re.search("[a-z]", core) else ""
+    if re.search("[a-z]", core):
+        return "l"
+    return "o" if any(map(str.isalpha, core)) else ""
+
+
+def letters_of(core: str, kind: str) -> str:
+    """A core letter by letter: syllables of Hangul in their single letters, as a slip of the hand is in one of these."""
+    return unicodedata.normalize("NFD", core) if kind == "o" else core
+
+
+def own_edits(kind: str, length: int) -> int:
+    """Edits within which two names that no lexicon knows are one: none for short ones, as there a letter makes another name."""
+    first, second = OWN_EDITS[kind]
+    return (length >= first) + (length >= second)
 
 
 def renderings(surname: str, given: str, lexicon: Lexicon) -> list[tuple[str, str, int]]:
@@ -188,7 +232,7 @@ def renderings(surname: str, given: str, lexicon: Lexicon) -> list[tuple[str, st
 
 
 def segments(length: int, k: int) -> list[tuple[int, int]]:
-    """Start and length of the k + 1 segments of a text of ``length``; longer segments last."""
+    """Start and length of the k + 1 segments of a text of ``length``, which must be more than ``k``; longer segments last."""
     n, extra = divmod(length, k + 1)
     out, at = [], 0
     for i in range(k + 1):
@@ -199,8 +243,9 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
 
 
 def index_keys(text: str, k: int) -> list[str]:
-    """Keys of an indexed text: its length and each of its k + 1 segments."""
-    return [f"{len(text)}|{k}|{i}|{text[a : a + n]}" for i, (a, n) in enumerate(segments(len(text), k)) if n or not k]
+    """Keys of an indexed text: its length and each of its k + 1 segments.  A text isn't cut into more segments than it has letters."""
+    k = min(k, max(len(text) - 1, 0))
+    return [f"{len(text)}|{k}|{i}|{text[a : a + n]}" for i, (a, n) in enumerate(segments(len(text), k))]
 
 
 def probe_keys(text: str, k: int) -> list[str]:
@@ -211,17 +256,18 @@ def probe_keys(text: str, k: int) -> list[str]:
     """
     out = {}
     for length in range(max(1, len(text) - k), len(text) + k + 1):
-        shift = len(text) - length
-        for i, (a, n) in enumerate(segments(length, k)):
-            if n or not k:
-                first = max(0, a - i, a + shift - (k - i))
-                last = min(len(text) - n, a + i, a + shift + (k - i))
-                for start in range(first, last + 1):
-                    out[f"{length}|{k}|{i}|{text[start : start + n]}"] = None
+        shift, cut = len(text) - length, min(k, length - 1)  # short texts are indexed in fewer segments, for fewer edits
+        if abs(shift) > cut:
+            continue
+        for i, (a, n) in enumerate(segments(length, cut)):
+            first = max(0, a - i, a + shift - (cut - i))
+            last = min(len(text) - n, a + i, a + shift + (cut - i))
+            for start in range(first, last + 1):
+                out[f"{length}|{cut}|{i}|{text[start : start + n]}"] = None
     return list(out)
 
 
 @lru_cache(8)
-def name_unifier(surnames: tuple[str, ...], words: tuple[str, ...]):
+def name_unifier(surnames: tuple[str, ...], words: tuple[str, ...], table: tuple[str, str] = BUILT_IN):
     """The canonical form of names, cached in a process."""
-    return make_unifier(surnames, words)
+    return make_unifier(surnames, words, table)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.names import Lexicon, fold, index_keys, name_unifier, probe_keys
-from tallyloom.llm.unify import kana_runs
+from tallyloom.llm.unify import kana_runs, published_table
+from tallyloom.tables import materialize
 
 # Usual short forms of the words for a place.
 SHORT = {
@@ -24,15 +25,23 @@ def squash(name: str) -> str:
     return re.sub(r"[\s()\[\]・/\-]", "", name).removesuffix("店")
 
 
-def written_forms(name: str, surnames: dict, words: list[str]) -> list[tuple[str, int]]:
+def head_of(plain: str, surnames: dict) -> str:
+    """The longest registered surname with which a squashed name begins, or the empty text."""
+    return next((plain[:n] for n in range(max(map(len, surnames), default=0), 0, -1) if plain[:n] in surnames), "")
+
+
+def word_of(plain: str, head: str) -> str:
+    """The run of katakana, or the two kanji, behind the family name."""
+    found = re.match("[ァ-ヺー]{2,}|[一-龠]{2}", plain[len(head) :]) if head else None
+    return found[0] if found else ""
+
+
+def written_forms(plain: str, head: str, word: str, surnames: dict) -> list[tuple[str, int]]:
     """Forms (squashed text, cost) under which a registered name may be written, each with its least cost."""
-    plain = squash(name)
     out = {plain: 0}
-    head = plain[:2] if plain[:2] in surnames else ""
-    word = next((w for w in words if head and plain[2:].startswith(w)), "")
-    rest = plain[2 + len(word) :]
+    rest = plain[len(head) + len(word) :]
     if head:
-        out.setdefault(surnames[head][0] + plain[2:], 1)
+        out.setdefault(surnames[head][0] + plain[len(head) :], 1)
         if word:
             out.setdefault(word + head + rest, 1)
             for n in range(len(word) - 1, 0, -1):
@@ -44,17 +53,12 @@ def written_forms(name: str, surnames: dict, words: list[str]) -> list[tuple[str
     return list(out.items())
 
 
-def place_words(places: DataFrame, name: str) -> list[str]:
-    """The words that follow the two-letter family name in registered names: the shortest ones that begin the others.
-
-    Counted over all places; their number is that of the words in use and not that of the places.
-    """
-    word = F.regexp_extract(F.col(name), "^..([ァ-ヺー]{2,}|[一-龠]{2})", 1)
-    rows = places.select(word.alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(2_000).collect()
-    most = max((r.n for r in rows), default=0)
-    seen = [r.w for r in rows if r.n * 20 >= most or r.n > 200]
-    short = [w for w in seen if not any(w != x and w.startswith(x) and len(x) > 2 for x in seen)]
-    return sorted(short, key=lambda w: (-len(w), w))
+def _with_words(known: DataFrame) -> DataFrame:
+    """``place, plain, head, word`` with the words of all names: the shortest word in use, of three letters or more, that begins a run stands for it."""
+    words = known.select("word").where("word <> ''").distinct()
+    begins = words.select("word", F.explode(F.when(F.length("word") > 3, F.transform(F.sequence(F.lit(3), F.length("word") - 1), lambda n: F.substring("word", F.lit(1), n))).otherwise(F.array().cast("array<string>"))).alias("start"))
+    shorter = begins.join(words.select(F.col("word").alias("start")), "start", "left_semi").groupBy("word").agg(F.min_by("start", F.length("start")).alias("start"))
+    return known.join(shorter, "word", "left").select("place", "plain", "head", F.coalesce("start", "word").alias("word"))
 
 
 def resolve_places(texts: DataFrame, text: str, places: DataFrame, name: str, lexicon_rows: list) -> DataFrame:
@@ -65,16 +69,21 @@ def resolve_places(texts: DataFrame, text: str, places: DataFrame, name: str, le
     place within reach and texts with two nearest ones give no row.  Repeated texts give one row.
     """
     lexicon = Lexicon.of(lexicon_rows)
-    words = place_words(places, name)
-    surnames, kana = tuple(lexicon.surnames), (*lexicon.kana_words(), *kana_runs(places, name))
+    args = (tuple(lexicon.surnames), (*lexicon.kana_words(), *kana_runs(places, name)), published_table(texts.sparkSession))
     known = places.select(F.col(name).cast("string").alias("place")).where("place IS NOT NULL").distinct()
     written = texts.select(F.col(text).cast("string").alias("written")).where("written IS NOT NULL").distinct()
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            plain = [squash(name_unifier(*args)(p)) for p in batch["place"]]
+            heads = [head_of(p, lexicon.surnames) for p in plain]
+            yield pd.DataFrame({"place": batch["place"], "plain": plain, "head": heads, "word": [word_of(p, h) for p, h in zip(plain, heads, strict=True)]})
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for p in batch["place"]:
-                for form, cost in written_forms(name_unifier(surnames, kana)(p), lexicon.surnames, words):
+            for p, plain, head, word in zip(*(batch[c] for c in ("place", "plain", "head", "word")), strict=True):
+                for form, cost in written_forms(plain, head, word, lexicon.surnames):
                     rows.append((p, form, cost, form))
                     if cost < 2:
                         rows += [(p, form, cost + 2, key) for key in index_keys(form, 1)]
@@ -84,7 +93,7 @@ def resolve_places(texts: DataFrame, text: str, places: DataFrame, name: str, le
         for batch in batches:
             rows = []
             for w in batch["written"]:
-                plain = squash(name_unifier(surnames, kana)(w))
+                plain = squash(name_unifier(*args)(w))
                 if plain:
                     rows += [(w, plain, key) for key in dict.fromkeys([plain, fold(plain), *probe_keys(plain, 1)])]
             yield pd.DataFrame(rows, columns=["written", "plain", "key"])
@@ -93,8 +102,9 @@ def resolve_places(texts: DataFrame, text: str, places: DataFrame, name: str, le
     exact = same.where("place IS NOT NULL").select("written", "place")
     other = same.where("place IS NULL").select("written")
     # the index is many times its places, which Spark's estimate doesn't know: it must not be broadcast
+    parsed = _with_words(materialize(known.mapInPandas(parse, "place STRING, plain STRING, head STRING, word STRING")))
     found = other.mapInPandas(probe, "written STRING, plain STRING, key STRING").join(
-        known.mapInPandas(index, "place STRING, form STRING, cost INT, key STRING").hint("merge"), "key"
+        parsed.mapInPandas(index, "place STRING, form STRING, cost INT, key STRING").hint("merge"), "key"
     )
     found = found.where((F.col("key") == F.col("form")) | (F.levenshtein("plain", "form", 1) >= 0)).select("written", "place", "cost")
     nearest = found.groupBy("written").agg(

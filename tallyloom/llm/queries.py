@@ -9,7 +9,7 @@ from tallyloom.llm.encode import encode_texts
 from tallyloom.llm.garbled import find_garbled
 from tallyloom.llm.leaks import find_leaks
 from tallyloom.llm.linkage import link_records
-from tallyloom.llm.people import link_spellings, spelling_pairs
+from tallyloom.llm.people import link_spellings, spelling_classes, spelling_pairs
 from tallyloom.llm.places import resolve_places
 from tallyloom.llm.unify import find_disguised, kana_runs
 from tallyloom.tables import table
@@ -30,11 +30,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_pairs(p1_people(spark, sf_dir)).withColumnRenamed("place", "store_name")
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling of a store with the class of its person and the number of the other spellings."""
+    return spelling_classes(p1_people(spark, sf_dir)).withColumnRenamed("place", "store_name")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields whose value looks clean but consists of other characters."""
     lexicon = table(spark, sf_dir, "name_lexicon")
-    forms = find_disguised(table(spark, sf_dir, "form_readings"), "reading_id", ["store_name", "staff_name"], lexicon, "form_readings", kana_runs(table(spark, sf_dir, "stores"), "store_name"))
-    ledger = find_disguised(table(spark, sf_dir, "ledger_records"), "record_id", ["tablet_no"], lexicon, "ledger_records")
+    forms = find_disguised(table(spark, sf_dir, "form_readings"), "reading_id", ["store_name", "staff_name"], lexicon, "form_readings", kana_runs(table(spark, sf_dir, "stores"), "store_name"), repeats=True)
+    ledger = find_disguised(table(spark, sf_dir, "ledger_records"), "record_id", ["tablet_no"], lexicon, "ledger_records", repeats=True)
     return forms.unionByName(ledger).select("table_name", "row_id", "field").distinct()
 
 
@@ -70,5 +75,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "restored", "steps")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_links": p4_links, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_links": p4_links, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {}

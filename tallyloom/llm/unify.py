@@ -1,11 +1,13 @@
 """One consistent form for text that looks the same but consists of other characters.
 
-A quick check inside the JVM isolates the values that hold an unstable character
-(one whose normalisation quick-check property isn't "yes", an invisible one, a
-letter of a look-alike script, or a look-alike kana or kanji beside the other
-script).  Only these values go to Python, there only their unstable segments,
-with the characters around them as context, are normalised, and the canonical
-segments are spliced into the unchanged rest.
+A quick check inside the JVM isolates the values that hold an unstable character:
+one whose normalisation quick-check property isn't "yes", an invisible one, a
+letter that looks like one of another script, or a look-alike kana or kanji
+beside the other script.  Only these values go to Python; there only their
+unstable segments, each with the starter before it as boundary context, are
+normalised and spliced into the unchanged rest.  Look-alike letters come from the
+published confusables data, which the JVM's Unicode library holds, restricted by
+script: a letter is settled only if its whole word can be of one script.
 """
 
 from __future__ import annotations
@@ -16,19 +18,21 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Letters of other scripts that look like Latin ones.
+# Letters of other scripts that look like Latin ones, for use without a Spark session; with one see published_table.
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινκρυχ", "ABEZHIKMNOPTYXoivkpux", strict=True))
 _CYRILLIC = dict(zip("АВЕКМНОРСТУХЅІЈԚԜаеорсухѕіјһԁԛԝ", "ABEKMHOPCTYXSIJQWaeopcyxsijhdqw", strict=True))
 _OTHER_LATIN = {"ı": "i", "ɡ": "g", "ɑ": "a", "ⅼ": "l"}
 LATIN = {**_GREEK, **_CYRILLIC, **_OTHER_LATIN}
+#: The same as two texts, letter by letter.
+BUILT_IN = ("".join(LATIN), "".join(LATIN.values()))
 # Marks that look like an ASCII one.
 MARKS = {
     "˜": "~", "∼": "~", "〜": "~", "～": "~", "⁓": "~", "∽": "~",
     "‘": "'", "’": "'", "‛": "'", "′": "'", "＇": "'", "“": '"', "”": '"', "‟": '"', "″": '"',
-    "⁄": "/", "∕": "/", "․": ".", "‚": ",", "﹐": ",", "∶": ":", "ː": ":", "‥": "..", "…": "...", "･": "・", "·": "・", "•": "・", "∙": "・", "⋅": "・",
+    "゛": "\u3099", "゜": "\u309a", "⁄": "/", "∕": "/", "․": ".", "‚": ",", "﹐": ",", "∶": ":", "ː": ":", "‥": "..", "…": "...", "･": "・", "·": "・", "•": "・", "∙": "・", "⋅": "・",
 }
 _DASHES = "‐‑‒–—−―─━-"
 _DASH = re.compile("[‐‑‒–—−―─━]")
@@ -42,12 +46,14 @@ _BLANKS = re.compile(r"[   -     　\t\n\r\x0b\x0c]")
 _KATA = "ァ-ヺーヽヾ"
 _KANJI = "一-鿿㐀-䶿々〆"
 
-#: Java class of characters with another quick-check result than "yes", or that are invisible or of a look-alike script.
-_UNSTABLE = (
-    r"[\x{00}-\x{1f}\x{7f}-\x{a0}\x{a8}\x{aa}\x{ad}\x{af}\x{b2}-\x{b5}\x{b7}-\x{ba}\x{bc}-\x{be}\x{131}\x{2b0}-\x{2e4}\x{300}-\x{52f}"
-    r"\x{2d0}\x{2d8}-\x{2dd}\x{1100}-\x{11ff}\x{1680}\x{1e00}-\x{1fff}\x{2000}-\x{22ff}\x{2460}-\x{24ff}\x{2500}-\x{2501}\x{2e80}-\x{2fff}\x{3000}\x{301c}\x{3036}\x{3038}-\x{303a}\x{3099}-\x{309c}\x{309f}\x{30ff}"
-    r"\x{3130}-\x{33ff}\x{f900}-\x{faff}\x{fb00}-\x{fdff}\x{fe00}-\x{ffff}\x{10000}-\x{10ffff}&&[^\p{IsHangul}]]"
+#: Letters of scripts that are written without Latin look-alikes in one word.
+_CJK = r"\u1100-\u11ff\u2e80-\u2fff\u3005\u3007\u3021-\u3029\u3041-\u30ff\u3130-\u318f\u31f0-\u31ff\u3400-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff\uff66-\uffdc\U00020000-\U0003ffff"
+#: Java class of the characters that are stable whatever stands beside them; all others are looked at.
+_STABLE = (
+    r"\x{20}-\x{7e}\x{a1}-\x{a7}\x{a9}\x{ab}\x{ac}\x{ae}\x{b0}\x{b1}\x{b6}\x{bb}\x{bf}-\x{130}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}"
+    r"\x{3001}-\x{3003}\x{3005}\x{3007}-\x{3011}\x{3014}-\x{301b}\x{3041}-\x{3096}\x{309d}\x{309e}\x{30a1}-\x{30fe}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}"
 )
+_UNSTABLE = f"[^{_STABLE}]"
 _TWIN_NEAR = (
     f"[夕口卜八一工力二へべぺ][{_KATA}]|[{_KATA}][夕口卜八一工力二へべぺ]"
     f"|[タロトハーエカニヘベペ][{_KANJI}ぁ-ゖ]|[{_KANJI}ぁ-ゖ][タロトハーエカニヘベペ]"
@@ -56,6 +62,10 @@ _TWIN_NEAR = (
 QUICK_CHECK = rf"^[ ]|[ ]\z|{_UNSTABLE}|{_TWIN_NEAR}"
 
 
+#: Bound of the lexicon of katakana words in names, about 2 MB.
+WORDS = 100_000
+
+
 def _script(ch: str) -> str:
     """k katakana, h hiragana, c kanji, else the empty text."""
     if not ch:
@@ -78,9 +88,10 @@ def _settle_twins(text: str, surnames: frozenset[str], kana_words: frozenset[str
     """
     chars = list(text)
     n = len(chars)
+    sizes = {len(x) for x in surnames} - {1}
     sure = ["" if c in TWINS or c in _KANJI_OF or c in _HIRA_OF or c in _DASHES else _script(c) for c in chars]
     out = chars[:]
-    fixed = {j for i in range(n - 1) if text[i : i + 2] in surnames for j in (i, i + 1)}
+    fixed = {j for size in sizes for i in range(n - size + 1) if text[i : i + size] in surnames for j in range(i, i + size)}
     for i, c in enumerate(chars):
         if i in fixed:
             continue
@@ -157,57 +168,124 @@ def _settle_twins(text: str, surnames: frozenset[str], kana_words: frozenset[str
     return "".join(out)
 
 
-def _settle_latin(text: str) -> str:
-    """Look-alike Greek and Cyrillic letters as Latin; a word with a letter that has no Latin twin stays."""
+@lru_cache(8)
+def _tools(table: tuple[str, str]):
+    """For one table: the letters' map, and the kinds of characters as they are met."""
+    looks = dict(zip(*table, strict=True))
+
+    class Kinds(dict):
+        """Character to whether it is unstable: 0 no, 1 yes, 2 yes and it may join the one before it."""
+
+        def __missing__(self, c: str) -> int:
+            if unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff" or c in "゛゜":
+                kind = 2
+            else:
+                kind = int(c in MARKS or not unicodedata.is_normalized("NFKC", c) or bool(_IGNORABLE.match(c)) or bool(_BLANKS.match(c)) or c in looks and "\u2e80" <= c <= "\u2fdf")
+            self[c] = kind
+            return kind
+
+    return looks, Kinds()
 
-    def word(m: re.Match[str]) -> str:
-        return "".join(LATIN.get(x, x) for x in m[0]) if all(x in LATIN or x.isascii() for x in m[0]) else m[0]
 
-    return re.sub(r"[A-Za-zıɑɡͰ-ԯ]+", word, text)
+def _segments(text: str, kinds: dict) -> list[tuple[int, int]]:
+    """The unstable segments of a text: runs of unstable characters, with the character before a run that may join it."""
+    out, i, n = [], 0, len(text)
+    while i < n:
+        if not kinds[text[i]]:
+            i += 1
+            continue
+        start = i - (kinds[text[i]] == 2 and i > 0)
+        while i < n and kinds[text[i]]:
+            i += 1
+        out.append((start, i))
+    return out
 
 
-def _segment(seg: str) -> str:
+def _segment(seg: str, looks: dict[str, str]) -> str:
     """An unstable segment in its composed compatibility form."""
-    seg = "".join(MARKS.get(c, c) for c in seg)
-    return unicodedata.normalize("NFKC", seg)
+    seg = _BLANKS.sub(" ", _IGNORABLE.sub("", seg))
+    return unicodedata.normalize("NFKC", "".join(looks[c] if c in looks and "\u2e80" <= c <= "\u2fdf" else MARKS.get(c, c) for c in seg))
+
+
+_WORD = re.compile(rf"[^\W\d_{_CJK}]+")
+_TWIN_OR_DASH = re.compile("[" + "".join(TWINS) + "".join(TWINS.values()) + _DASHES + "]")
 
 
-_SEGMENT = re.compile(r"[^\x20-\x7e]+")
+def _settle_latin(text: str, looks: dict[str, str]) -> str:
+    """Letters that look like Latin ones as Latin; a word with a letter that has no Latin twin stays as it is."""
+
+    def word(m: re.Match[str]) -> str:
+        return "".join(looks.get(x, x) for x in m[0]) if all(x in looks or x.isascii() for x in m[0]) else m[0]
+
+    return _WORD.sub(word, text)
 
 
-def make_unifier(surnames: Iterable[str] = (), kana_words: Iterable[str] = ()):
-    """The function text -> canonical text, for one set of registered surnames and kana words."""
+def make_unifier(surnames: Iterable[str] = (), kana_words: Iterable[str] = (), table: tuple[str, str] = BUILT_IN):
+    """The function text -> canonical text, for one set of registered surnames and kana words and one table of look-alike letters."""
     names, words = frozenset(surnames), frozenset(kana_words)
+    looks, kinds = _tools(table)
 
     @lru_cache(200_000)
     def unify(text: str) -> str:
-        for _ in range(8):  # a settled letter may settle its neighbour
-            new = once(text)
-            if new == text:
-                break
-            text = new
-        return text
+        seen = []
+        while text not in seen:  # a settled letter may settle its neighbour
+            seen.append(text)
+            text = once(text)
+        return min(seen[seen.index(text) :])  # a form that comes back to itself; should several take turns, their least
 
     def once(text: str) -> str:
         if text.isascii():
             return _IGNORABLE.sub("", _BLANKS.sub(" ", text)).strip(" ")
-        text = _IGNORABLE.sub("", text)
-        text = _BLANKS.sub(" ", text)
-        # a segment takes its base character along, so that a combining mark finds it
         parts, at = [], 0
-        for m in _SEGMENT.finditer(text):
-            if unicodedata.is_normalized("NFKC", m[0]) and not any(c in MARKS for c in m[0]):
-                continue
-            start = m.start() - (m.start() > at and unicodedata.combining(m[0][0]) > 0)
-            parts += [text[at:start], _segment(text[start : m.end()])]
-            at = m.end()
-        text = _settle_twins(_settle_latin("".join([*parts, text[at:]])), names, words)
-        text = unicodedata.normalize("NFC", text)  # a twin may have come before a combining mark
-        return _DASH.sub("-", text).strip(" ")  # a dash in a katakana word is its long vowel by now
+        for start, end in _segments(text, kinds):
+            parts += [text[at:start], _segment(text[start:end], looks)]
+            at = end
+        text = "".join([*parts, text[at:]])
+        if not looks.keys().isdisjoint(text):
+            text = _settle_latin(text, looks)
+        if _TWIN_OR_DASH.search(text):
+            text = _settle_twins(text, names, words)
+            text = _DASH.sub("-", text)  # a dash in a katakana word is its long vowel by now
+        return text.strip(" ")
 
     return unify
 
 
+def published_table(spark: SparkSession) -> tuple[str, str]:
+    """Letters that look like an ASCII letter or digit, or like a kanji, and that look: two texts, letter by letter.
+
+    From the confusables data of the Unicode library in the JVM, by the rule: one letter or digit beyond ASCII, in
+    its compatibility form already, whose skeleton is that of an ASCII letter, capital for capital; radicals
+    whose skeleton is a kanji; small capitals by their names.  About 1,400 letters, computed once a session.
+    """
+    found = _PUBLISHED.get(spark.sparkContext.applicationId)
+    if found is None:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        letters = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0xD800), *range(0xF900, 0x20000)]) if unicodedata.category(c)[0] in "LNS" and unicodedata.is_normalized("NFKC", c)]
+        skeleton = dict(zip(letters, checker.getSkeleton("\n".join(letters)).split("\n"), strict=True))
+        plain: dict[str, str] = {}
+        for c in filter(str.isalnum, map(chr, range(0x21, 0x7F))):
+            plain[skeleton[c]] = plain.get(skeleton[c], "") + c
+        cjk, out = re.compile(f"[{_CJK}]"), dict(LATIN)
+        for c, look in skeleton.items():
+            if c.isascii() or unicodedata.category(c)[0] not in "LN" and not "\u2e80" <= c <= "\u2fdf":
+                continue
+            if cjk.match(c):
+                if "\u2e80" <= c <= "\u2fdf" and len(look) == 1 and "\u4e00" <= look <= "\u9fff":
+                    out[c] = look
+                continue
+            small = re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(c, ""))
+            choice = small[1] if small else plain.get(look, "")
+            fits = [x for x in choice if x.isdigit() == c.isdigit() and (x.isupper() == c.isupper() or len(choice) == 1)]
+            if fits:
+                out[c] = fits[0]
+        found = _PUBLISHED[spark.sparkContext.applicationId] = ("".join(out), "".join(out.values()))
+    return found
+
+
+_PUBLISHED: dict[str, tuple[str, str]] = {}
+
+
 def needs_unifying(c: Column) -> Column:
     """The quick check: false means that ``c`` is in the canonical form already; null for null."""
     return F.regexp(c, F.lit(QUICK_CHECK))
@@ -223,34 +301,38 @@ def lexicon_words(lexicon: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def kana_runs(places: DataFrame, name: str) -> list[str]:
-    """The katakana words in registered names; as many as there are words in use, not as there are names."""
+    """The katakana words in registered names, a lexicon of at most ``WORDS`` words: counted over all names, the most frequent are taken.
+
+    Bounded as what a worker holds must not grow with the places; a word that is left out only makes a look-alike in it undecided.
+    """
     runs = F.explode(F.regexp_extract_all(F.col(name), F.lit("[ァ-ヺー]{2,}"), 0)).alias("w")
-    return sorted(r.w for r in places.select(runs).groupBy("w").count().select("w").collect())
+    return sorted(r.w for r in places.select(runs).groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS).collect())
 
 
-def unify_udf(surnames: list[str], kana_words: list[str]):
+def unify_udf(surnames: list[str], kana_words: list[str], table: tuple[str, str] = BUILT_IN):
     """Arrow UDF of the canonical form; null stays null, the empty text stays empty."""
 
     @F.pandas_udf("string")
     def unified(values: pd.Series) -> pd.Series:
-        f = make_unifier(tuple(surnames), tuple(kana_words))
+        f = make_unifier(tuple(surnames), tuple(kana_words), table)
         return values.map(lambda v: None if v is None else f(v))
 
     return unified
 
 
-def find_disguised(df: DataFrame, row_id: str, fields: list[str], lexicon: DataFrame, table_name: str, words: list[str] | None = None) -> DataFrame:
+def find_disguised(
+    df: DataFrame, row_id: str, fields: list[str], lexicon: DataFrame, table_name: str, words: list[str] | None = None, repeats: bool = False
+) -> DataFrame:
     """Every field value that isn't in its canonical form: ``table_name, row_id, field, value, canonical``.
 
     Null, empty and clean values give no row; a value of blanks only has the empty text as canonical form.
-    Rows that are repeated (resends) give one row for each distinct value.  A null ``row_id`` is kept.
-    ``words``: further katakana words that names are made of.
-    No shuffle before the quick check; Python sees only the values that fail it, each distinct one once.
+    Rows that are repeated (resends) give one row for each distinct value, or with ``repeats`` one each, without a
+    shuffle.  A null ``row_id`` is kept.  ``words``: further katakana words that names are made of.
+    No shuffle before the quick check; Python sees only the values that fail it.
     """
     surnames, kana = lexicon_words(lexicon)
-    udf = unify_udf(surnames, sorted({*kana, *(words or [])}))
+    udf = unify_udf(surnames, sorted({*kana, *(words or [])}), published_table(df.sparkSession))
     named = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))
     each = df.select(F.col(row_id).alias("row_id"), named.alias("_n")).select("row_id", "_n.field", "_n.value")
-    suspects = each.where(needs_unifying(F.col("value"))).dropDuplicates()
-    done = suspects.withColumn("canonical", udf("value")).where(F.col("canonical") != F.col("value"))
-    return done.select(F.lit(table_name).alias("table_name"), "row_id", "field", "value", "canonical")
+    done = each.where(needs_unifying(F.col("value"))).withColumn("canonical", udf("value")).where(F.col("canonical") != F.col("value"))
+    return (done if repeats else done.dropDuplicates()).select(F.lit(table_name).alias("table_name"), "row_id", "field", "value", "canonical")

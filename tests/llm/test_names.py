@@ -3,7 +3,7 @@
 import random
 
 from tallyloom.llm.names import Lexicon, core_of, index_keys, probe_keys, romaji, skeleton
-from tallyloom.llm.people import link_spellings, spelling_pairs
+from tallyloom.llm.people import components, link_spellings, spelling_classes, spelling_pairs
 from tallyloom.llm.places import resolve_places
 
 FIELDS = ("name_kind", "kanji", "kana", "romaji", "called_as")
@@ -90,3 +90,57 @@ def test_places(spark):
 def test_lexicon_skips_blank_rows():
     lexicon = Lexicon.of([*LEXICON, dict(zip(FIELDS, ("given", None, None, None, None), strict=True))])
     assert len(lexicon.given) == 5 and "ヒサ" in lexicon.kana_words()
+
+
+def test_names_that_no_lexicon_knows(spark):
+    """Names join names: by segments of their own, in any script, in either order of parts."""
+    english = ["Jonathan Smithson", "Jonathon Smithson", "Smithson Jonathan", "JONATHAN  SMITHSON"]
+    korean, russian, accents = ["김민수", "김민주"], ["Иван Петров", "Петров Иван", "Иван Петроф"], ["Müller Jürgen", "Muller Jurgen"]
+    apart = ["Anna", "Anne", "Łukasz", "山"]
+    df = spark.createDataFrame([("A", n) for n in english + korean + russian + accents + apart] + [("B", english[1])], "store STRING, staff STRING")
+    for lexicon in (LEXICON, []):
+        rows = link_spellings(df, "store", "staff", lexicon).collect()
+        got = {(r.place, r.written): r.person for r in rows}
+        assert len(rows) == len(got) == df.count()
+        for group in (english, korean, russian, accents):
+            assert len({got[("A", n)] for n in group}) == 1, group
+        assert len({got[("A", g)] for g in [english[0], korean[0], russian[0], accents[0], *apart]}) == 4 + len(apart)
+
+
+def test_one_row_for_spellings_that_fold_to_one_core(spark):
+    """前食久江 reads like the registered 前倉久江 and must not be linked a second time."""
+    df = spark.createDataFrame([("A", n) for n in ("前倉久江", "前食久江", "久江 前倉", "岩木悠介", "岩本悠介", "イワモト ユウスケ", "イワキ ユウスケ")], "store STRING, staff STRING")
+    linked = link_spellings(df, "store", "staff", LEXICON)
+    rows = linked.collect()
+    assert len(rows) == 7 and len({r.written for r in rows}) == 7
+    assert len({r.person for r in rows if r.written[0] in "岩イ"}) == 1
+    pairs = spelling_pairs(linked).collect()
+    assert len(pairs) == len(set(pairs)) == 3 + 6
+    classes = {r.written: (r.class_id, r.links) for r in spelling_classes(linked).collect()}
+    assert classes["前食久江"] == ("久江 前倉", 2) and classes["岩本悠介"] == ("イワキ ユウスケ", 3)
+
+
+def test_chains_end_at_their_least_core(spark):
+    edges = [("A", f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("A", "x", "y"), ("B", "n001", "z"), ("B", "z", "n001")]
+    rnd = random.Random(3)
+    rnd.shuffle(edges)
+    got = {(r.place, r.core): r.root for r in components(spark.createDataFrame(edges, "place STRING, core STRING, to STRING")).collect()}
+    assert got == {**{("A", f"n{i:03}"): "n000" for i in range(41)}, ("A", "x"): "x", ("A", "y"): "x", ("B", "n001"): "n001", ("B", "z"): "n001"}
+    assert components(spark.createDataFrame([], "place STRING, core STRING, to STRING")).count() == 0
+
+
+def test_short_texts_keep_the_pigeonhole():
+    for k in (1, 2):
+        for a in ("a", "ab", "abc"):
+            for b in ("a", "b", "ab", "ba", "abc", "abd", "xbc"):
+                allowed = min(k, len(a) - 1)
+                if plain_distance(a, b) <= allowed:
+                    assert set(index_keys(a, k)) & {key for n in range(k + 1) for key in probe_keys(b, n)}, (a, b, k)
+
+
+def test_surnames_of_any_length(spark):
+    lexicon = [*LEXICON, dict(zip(FIELDS, ("surname", "林", "ハヤシ", "Hayashi", None), strict=True)), dict(zip(FIELDS, ("surname", "長谷川", "ハセガワ", "Hasegawa", None), strict=True))]
+    stores = spark.createDataFrame([("林タウン本店",), ("長谷川プラザ2号店",), ("前倉プラザ2号店",)], "store_name STRING")
+    want = {"タウン林本店": "林タウン本店", "ハヤシタウン本店": "林タウン本店", "プラザ長谷川2号店": "長谷川プラザ2号店", "長谷川PLZ2号店": "長谷川プラザ2号店"}
+    df = spark.createDataFrame([(w,) for w in want], "w STRING")
+    assert {r.written: r.place for r in resolve_places(df, "w", stores, "store_name", lexicon).collect()} == want

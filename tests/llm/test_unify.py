@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.llm.unify import find_disguised, make_unifier, needs_unifying
+from tallyloom.llm.unify import BUILT_IN, MARKS, _segments, _tools, find_disguised, make_unifier, needs_unifying, published_table
 
 LEXICON = [("surname", "夕口", "ユウグチ", "Yuuguchi", None), ("surname", "水口", "ミズグチ", "Mizuguchi", None), ("surname", "上浦", "カミウラ", "Kamiura", None), ("surname", "夕岡", "ユウオカ", "Yuuoka", None), ("given", "隆代", "タカヨ", "Takayo", "タカ")]
 UNIFY = make_unifier([r[1] for r in LEXICON if r[0] == "surname"], [w for r in LEXICON for w in (r[2], r[4]) if w])
@@ -71,3 +71,23 @@ def test_operator(spark):
     assert find_disguised(df, "id", ["store", "staff"], lexicon, "t").count() == 5
     assert find_disguised(df.limit(0), "id", ["store"], lexicon, "t").count() == 0
     assert find_disguised(df, "id", ["store"], lexicon.limit(0), "t").count() == 4
+
+
+def test_published_letters(spark):
+    """Letters of any script that look like Latin ones, and radicals that look like kanji; nothing of them passes the quick check."""
+    table = published_table(spark)
+    unify = make_unifier((), (), table)
+    for text, want in {"Ꭺ": "A", "օk": "ok", "ꓮB": "AB", "ɴo": "No", "⻁": "虎", "Ѵic": "Vic", "か゛": "が", "ガ": "ガ", "4А~1": "4A~1"}.items():
+        assert unify(text) == want, text
+    for text in ("кириллица", "Ελλάδα", "Ünïcödé", "김민수", "口座"):
+        assert unify(text) == text
+    letters = [(c,) for c in table[0] + "".join(MARKS)]
+    assert spark.createDataFrame(letters, "c STRING").where(~needs_unifying(F.col("c"))).count() == 0
+
+
+def test_only_unstable_segments_change():
+    """A segment is no more than the unstable characters and the starter that they join."""
+    text = "前倉" * 50 + "ﾊﾟ" + "。" * 50 + "é" + "x"
+    _, kinds = _tools(BUILT_IN)
+    assert [text[a:b] for a, b in _segments(text, kinds)] == ["ﾊﾟ", "é"]
+    assert UNIFY(text) == "前倉" * 50 + "パ" + "。" * 50 + "éx"
