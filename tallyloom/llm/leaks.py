@@ -1,13 +1,15 @@
-"""Evaluation passages that leaked into a corpus, by a positional inverted index.
-
-Texts are reduced to their letters and digits (compatibility form, case folded).
-A term is ten consecutive letters.  The index holds the postings (term, document,
-position) of every document for the terms of the passages.  A passage is looked up
-by the rarest term of each eleven consecutive ones, so every common run of twenty
-letters meets at least one looked-up term; the postings are adjusted by the term's
-offset in the passage, and hits on one diagonal are extended letter by letter to
-exact phrases.  The phrases' union, at any places and in any order (proximity
-isn't required), must cover the asked share of the passage.
+"""Evaluation passages that leaked into a corpus, by a stored positional inverted index.
+
+Texts are reduced to their letters and digits (compatibility form, case folded).  A token is
+ten consecutive letters, as many scripts have no blanks.  The index holds postings (term,
+document, position) of every document, whatever will be asked: of each eleven consecutive
+tokens the one of least hash, so any common run of twenty letters has a posting in
+common, about a sixth of all positions.  It is written once and answers any set of passages.
+
+A passage is looked up from its rarest terms: a document that holds the asked share must have a
+certain number of its terms, so it has one of the rarest others.  The postings of what is
+found are intersected, adjusted by offset, and only documents with enough terms are read again to verify
+exact phrases and proximity, letter by letter.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.tables import materialize, spread
+from tallyloom.tables import materialize, release, spread
 
 #: Letters of a term.
 TERM = 10
-#: Letters of the passages whose terms a worker holds at once, at most 8 bytes each, and 24 in the table of looked-up terms; more are taken in blocks.
-BLOCK = 2_000_000
+#: Letters that a common run must have.
+RUN = 20
+#: Distinct terms of a query set up to which they are sent to all workers, at most some 50 MB; more are joined by a shuffle.
+BROADCAST_TERMS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,138 +41,158 @@ def letters(text: str | None) -> str:
     return "".join(filter(str.isalnum, text))
 
 
-def term_hashes(plain: str) -> np.ndarray:
-    """64-bit hash of the term at each position of a text of letters, empty for short ones."""
+def term_hashes(plain: str, size: int = TERM) -> np.ndarray:
+    """64-bit hash of the ``size`` letters at each position of a text of letters, empty for short ones."""
     codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = len(codes) - TERM + 1
+    n = len(codes) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64)
     h = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(TERM):
+        for j in range(size):
             h = h * _BASE + codes[j : j + n] + np.uint64(1)
             h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
 
-def _passage_terms(items: list[tuple[int, str]]) -> tuple[list[tuple], np.ndarray]:
-    rows, seen = [], []
-    for item, plain in items:
-        hashes = term_hashes(plain)
-        seen.append(hashes)
-        rows += [(item, int(h), pos) for pos, h in enumerate(hashes)]
-    return rows, np.unique(np.concatenate(seen)) if seen else np.empty(0, dtype=np.int64)
+def chosen(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the least hash, the first of equals, in each ``window`` consecutive ones; none for fewer."""
+    if len(hashes) < window:
+        return np.empty(0, dtype=np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
+    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
+
 
+def build_index(docs: DataFrame, doc_id: str, text: str, run: int = RUN) -> DataFrame:
+    """The positional index ``doc BIGINT, term BIGINT, pos INT`` of all documents, written to the shared folder.
 
-def postings(docs: DataFrame, doc_id: str, text: str, vocabulary: np.ndarray) -> DataFrame:
-    """The positional index ``doc BIGINT, term BIGINT, pos INT`` of all documents for the terms of ``vocabulary``."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    Null ids and texts, and texts with fewer than ``run`` letters, have no posting; repeated rows repeat theirs.
+    Extra columns are ignored.  No shuffle.
+    """
+    window = _window(run)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         for batch in batches:
             ids, terms, places = [], [], []
             for doc, body in zip(batch["doc"], batch["text"], strict=True):
                 hashes = term_hashes(letters(body))
-                if not len(hashes) or not len(known):
-                    continue
-                slot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                hit = np.flatnonzero(known[slot] == hashes)
-                if len(hit):
-                    ids.append(np.full(len(hit), doc, dtype=np.int64))
-                    terms.append(hashes[hit])
-                    places.append(hit.astype(np.int32))
+                at = chosen(hashes, window)
+                ids.append(np.full(len(at), doc, dtype=np.int64))
+                terms.append(hashes[at])
+                places.append(at.astype(np.int32))
             if ids:
                 yield pd.DataFrame({"doc": np.concatenate(ids), "term": np.concatenate(terms), "pos": np.concatenate(places)})
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    return spread(source, "doc").mapInPandas(index, "doc BIGINT, term BIGINT, pos INT")
+    return materialize(spread(source, "doc").mapInPandas(index, "doc BIGINT, term BIGINT, pos INT"))
 
 
-def covered(doc: np.ndarray, passage: np.ndarray, diagonals: list[int], run: int) -> int:
-    """Letters of the passage that the document holds in common runs of at least ``run`` on the diagonals."""
-    mark = np.zeros(len(passage), dtype=bool)
-    for d in set(diagonals):  # document position minus passage position
-        start, end = max(0, -d), min(len(passage), len(doc) - d)
-        if end - start < run:
-            continue
-        same = np.concatenate(([False], passage[start:end] == doc[start + d : end + d], [False]))
-        edges = np.flatnonzero(same[1:] != same[:-1])
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            if b - a >= run:
-                mark[start + a : start + b] = True
-    return int(mark.sum())
+def _window(run: int) -> int:
+    if run < 2 * TERM - 1:
+        raise ValueError(f"runs shorter than {2 * TERM - 1} letters aren't met by the index")
+    return run - TERM + 1
 
 
-def find_leaks(
-    docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, share: float = 0.5, run: int = 20
-) -> DataFrame:
-    """``doc_id, item_id, letters, of_letters``: documents with at least ``share`` of a passage's letters in runs of ``run``.
+def _passage_terms(items: DataFrame, window: int) -> DataFrame:
+    """``item, size, term, at``: the terms of each passage that the index would hold of it."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, passage in zip(batch["item"], batch["passage"], strict=True):
+                plain = letters(passage)
+                hashes = term_hashes(plain)
+                rows += [(item, len(plain), int(hashes[at]), int(at)) for at in chosen(hashes, window)]
+            yield pd.DataFrame(rows, columns=["item", "size", "term", "at"])
+
+    return items.mapInPandas(cut, "item BIGINT, size INT, term BIGINT, at INT")
+
+
+def matched(doc: str, passage: str, run: int) -> tuple[int, int, int]:
+    """Letters of a passage that a document holds in common runs of at least ``run``, the longest common phrase, and the
+    most letters of such runs within any stretch of the document that is twice as long as the passage."""
+    there, asked = term_hashes(doc, run), term_hashes(passage, run)
+    if not len(there) or not len(asked):
+        return 0, 0, 0
+    at = np.flatnonzero(np.isin(asked, there))
+    if not len(at):
+        return 0, 0, 0
+
+    def marks(starts: np.ndarray, n: int) -> np.ndarray:
+        edges = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + run, -1)
+        return np.cumsum(edges[:-1]) > 0
+
+    longest = 0
+    for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+        first, end = int(part[0]), int(part[-1]) + run
+        while first + max(longest, run - 1) < end:  # runs may come from several places of the document
+            last = min(end, first + longest + 1) if longest else first + run
+            while last <= end and passage[first:last] in doc:
+                longest, last = last - first, last + 1
+            first += 1
+    sums = np.concatenate(([0], np.cumsum(marks(np.flatnonzero(np.isin(there, asked)), len(doc)))))
+    reach = min(2 * len(passage), len(doc))
+    return int(marks(at, len(passage)).sum()), longest, int((sums[reach:] - sums[: len(sums) - reach]).max())
+
+
+def search(index: DataFrame, docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, share: float = 0.5, run: int = RUN) -> DataFrame:
+    """``doc_id, item_id, letters, of_letters, longest, kind``: documents with at least ``share`` of a passage's letters in runs of ``run``.
+
+    ``longest`` is the longest common phrase.  ``kind`` is ``exact`` for the whole passage as one phrase, ``phrase`` if
+    the longest one alone has the share, ``proximity`` if the runs within a stretch of twice the passage's
+    length have it, else ``scattered``.
 
     * Null, empty and blank texts, and passages with fewer than ``run`` letters, give no row.
     * Equal documents or items under several ids each give their rows; repeated rows of one id give one.
-    * ``run`` must be at least ``2 * TERM - 1`` for the index to meet every run.
+    * ``run`` must be that of the index, at least ``2 * TERM - 1``.
     * Extra columns are ignored.  Empty tables give no row.
 
-    The passages are a stated query set that doesn't grow with the corpus; they are taken in blocks of
-    ``BLOCK`` letters, so what a worker holds is bounded.  Hits are counted per (document, item) before anything is
-    shuffled wide, and only pairs whose hits could reach the share get their text read again.
+    Nothing of the passages or documents comes to the driver but the number of distinct terms.
     """
-    if run < 2 * TERM - 1:
-        raise ValueError(f"runs shorter than {2 * TERM - 1} letters aren't met by the index")
-    spark = docs.sparkSession
-    texts = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(passage).cast("string").alias("passage")).where("item IS NOT NULL AND passage IS NOT NULL").dropDuplicates(["item"])
-    blocks = max(1, -(-(texts.agg(F.sum(F.length("passage"))).first()[0] or 0) // BLOCK))
-    out = None
-    for b in range(blocks):
-        found = _block(spark, docs, doc_id, text, texts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b), share, run)
-        out = found if out is None else out.unionByName(found)
-    return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "letters", "of_letters")
-
-
-def _block(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, block: DataFrame, share: float, run: int) -> DataFrame:
-    """The leaks of one block of passages."""
-    plain = [(r.item, p) for r in block.select("item", "passage").collect() if len(p := letters(r.passage)) >= run]
-    rows, vocabulary = _passage_terms(plain)
-    index = materialize(postings(docs, doc_id, text, vocabulary))
-
-    # the rarest term of each window of consecutive terms; every common run contains a whole window
-    window = run - TERM + 1
-    frequency = {r.term: r.n for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}  # bounded by the block's terms
-    seeds: set[tuple[int, int, int]] = set()
-    by_item: dict[int, list[tuple[int, int]]] = {}
-    for item, term, pos in rows:
-        by_item.setdefault(item, []).append((term, pos))
-    for item, terms in by_item.items():
-        weight = [frequency.get(t, 0) for t, _ in terms]
-        for a in range(len(terms) - window + 1):
-            i = min(range(a, a + window), key=lambda k: (weight[k], k))
-            if weight[i]:
-                seeds.add((item, terms[i][0], terms[i][1]))
-    size = {item: len(p) for item, p in plain}
-    lookup = spark.createDataFrame(
-        pd.DataFrame([(i, t, p, size[i]) for i, t, p in sorted(seeds)], columns=["item", "term", "at", "size"]).astype({"item": "int64", "term": "int64", "at": "int32", "size": "int32"})
-        if seeds else [], "item BIGINT, term BIGINT, at INT, size INT",
-    )
-    hits = index.join(F.broadcast(lookup), "term").select("doc", "item", "size", "at", (F.col("pos") - F.col("at")).alias("d"))
-    # a run of L letters meets at least (L - 19) / 11 distinct offsets, so n offsets allow 30 n letters
-    pairs = hits.groupBy("doc", "item", "size").agg(F.count_distinct("at").alias("n"), F.collect_set("d").alias("diagonals"))
-    pairs = pairs.where(F.col("n") * (window + 2 * TERM - 1) >= F.col("size") * share).select("doc", "item", "diagonals")
-    pairs = pairs.groupBy("doc").agg(F.collect_list(F.struct("item", "diagonals")).alias("pairs"))
-
-    passages = spark.sparkContext.broadcast({item: np.frombuffer(p.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for item, p in plain})
+    window = _window(run)
+    asked = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(passage).cast("string").alias("passage")).where("item IS NOT NULL AND passage IS NOT NULL").dropDuplicates(["item"])
+    asked = materialize(asked)
+    terms = materialize(_passage_terms(asked, window))
+    wanted = terms.select("term").distinct()
+    met = materialize(index.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term").select("term", "doc", "pos").distinct())
+
+    # Runs that cover a stretch can be thinned to half of it without overlap, and a run of L letters has at least (L - 9) / 11
+    # terms of its own, so each term accounts for 60 letters at most: a document needs this many of a passage's terms ...
+    longest = 2 * (run + window - 1)
+    needed = F.ceil(F.col("size") * F.lit(share) / F.lit(float(longest)))
+    # ... and if it lacks all of the rarest, but this many less one, it can't have them.
+    rarity = met.groupBy("term").agg(F.count_distinct("doc").alias("df"))
+    ranked = terms.join(rarity, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "term", "at")))
+    rarest = ranked.withColumn("all", F.count("*").over(Window.partitionBy("item"))).where(F.col("rank") <= F.col("all") - needed + 1)
+    first = rarest.join(met, "term").select("doc", "item").distinct()
+    adjusted = first.join(terms, "item").join(met, ["doc", "term"]).select("doc", "item", "size", "at", (F.col("pos") - F.col("at")).alias("d"))
+    enough = adjusted.groupBy("doc", "item", "size").agg(F.count_distinct("at").alias("n")).where(F.col("n") >= needed)
+    pairs = materialize(enough.join(asked, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "passage")).alias("pairs")))
+    release(met, terms, asked)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc, body, wanted in zip(batch["doc"], batch["text"], batch["pairs"], strict=True):
-                codes = np.frombuffer(letters(body).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                whole = letters(body)
                 for pair in wanted:
-                    passage = passages.value[pair["item"]]
-                    n = covered(codes, passage, list(pair["diagonals"]), run)
-                    if n >= share * len(passage):
-                        out.append((doc, pair["item"], n, len(passage)))
-            yield pd.DataFrame(out, columns=["doc", "item", "letters", "of_letters"])
+                    plain = letters(pair["passage"])
+                    n, phrase, near = matched(whole, plain, run)
+                    if n >= share * len(plain):
+                        kind = "exact" if phrase == len(plain) else "phrase" if phrase >= share * len(plain) else "proximity" if near >= share * len(plain) else "scattered"
+                        out.append((doc, pair["item"], n, len(plain), phrase, kind))
+            yield pd.DataFrame(out, columns=["doc", "item", "letters", "of_letters", "longest", "kind"])
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    return source.join(pairs, "doc").mapInPandas(verify, "doc BIGINT, item BIGINT, letters INT, of_letters INT").dropDuplicates(["doc", "item"])
+    found = source.join(pairs, "doc").mapInPandas(verify, "doc BIGINT, item BIGINT, letters INT, of_letters INT, longest INT, kind STRING")
+    return found.dropDuplicates(["doc", "item"]).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "letters", "of_letters", "longest", "kind")
+
+
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, share: float = 0.5, run: int = RUN) -> DataFrame:
+    """:func:`search` with an index of the documents that is only used this once."""
+    index = build_index(docs, doc_id, text, run)
+    found = search(index, docs, doc_id, text, items, item_id, passage, share, run)
+    release(index)
+    return found

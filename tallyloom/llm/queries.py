@@ -59,10 +59,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items whose passage they hold by half or more, and in which way."""
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the evaluation items whose passage they hold by half or more."""
-    found = find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
-    return found.select("doc_id", "item_id")
+    """The same without the way."""
+    return p7_matches(spark, sf_dir).select("doc_id", "item_id")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +79,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "restored", "steps")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_links": p4_links, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_links": p4_links, "p6_ids": p6_ids, "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {}

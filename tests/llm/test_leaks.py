@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from tallyloom.llm.leaks import find_leaks, letters
+from tallyloom.llm import leaks
+from tallyloom.llm.leaks import RUN, build_index, find_leaks, letters, matched, search
 
 WORDS = "棚卸し 催事場 巡回員 配送 応援員 封筒 組立図 荷札 会計 補助 看板 冷蔵庫 carpet ledger pencil harbour winter mirror".split()
 
@@ -66,3 +67,42 @@ def test_widths_case_order_and_edges(spark):
 def test_short_runs_are_refused(spark):
     with pytest.raises(ValueError):
         run_it(spark, [(1, "a")], [(1, "b")], run=10)
+
+
+def test_one_index_answers_several_sets(spark, monkeypatch):
+    rnd = random.Random(8)
+    sets = [[(i, passage(rnd)) for i in range(6)] for _ in range(2)]
+    docs = []
+    for d in range(40):
+        p = rnd.choice(rnd.choice(sets))[1]
+        a = rnd.randrange(len(p) // 2)
+        docs.append((d, passage(rnd, 8) + p[a : a + rnd.choice([100, 300, 900])] + passage(rnd, 8)))
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    index = build_index(df, "doc_id", "text")
+    for items in sets:
+        for bound in (1_000_000, 0):  # terms sent to all, or joined
+            monkeypatch.setattr(leaks, "BROADCAST_TERMS", bound)
+            got = search(index, df, "doc_id", "text", spark.createDataFrame(items, "item_id BIGINT, passage STRING"), "item_id", "passage")
+            assert {(r.doc_id, r.item_id) for r in got.collect()} == brute(docs, items)
+
+
+def test_ways_of_matching():
+    rnd = random.Random(2)
+    p = letters(passage(rnd))
+    n, other = len(p), letters(passage(random.Random(9), 200))
+    assert matched("x" + p + "y", p, RUN) == (n, n, n)
+    assert matched(other, p, RUN)[0] == 0 and matched("", p, RUN) == (0, 0, 0) == matched(p, "", RUN)
+    half = matched("ab" + p[: n * 2 // 3] + "cd", p, RUN)
+    assert half[:2] == (n * 2 // 3, n * 2 // 3)
+    pieces = [p[i : i + 30] for i in range(0, n - 30, 30)]
+    near, far = "#".join(pieces), other.join(pieces)
+    assert matched(near, p, RUN)[0] == matched(far, p, RUN)[0] == 30 * len(pieces)
+    assert matched(near, p, RUN)[2] > n / 2 > matched(far, p, RUN)[2] and matched(near, p, RUN)[1] == 30
+
+
+def test_overlapping_runs(spark):
+    """Runs that share letters of the passage: the least number of terms must not be asked too high."""
+    rnd = random.Random(4)
+    p = letters(passage(rnd, 12))
+    docs = [(i, "#".join(p[a : a + w] for a in range(0, len(p) - w + 1, step)) + "@" + passage(rnd, 3)) for i, (w, step) in enumerate([(20, 1), (20, 7), (30, 10), (29, 9), (21, 13), (40, 20)])]
+    assert run_it(spark, docs, [(1, p)]) == brute(docs, [(1, p)]) == {(i, 1) for i in range(6)}
