@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import warnings
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -44,21 +45,37 @@ def _delete(spark: SparkSession, path: str) -> None:
         warnings.warn(f"{path} could not be deleted: {e}", stacklevel=2)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back.
 
     Cuts the lineage so that a lost executor costs a re-read and no recomputation,
     and keeps the columnar form, so later stages still prune columns.
-    The files go by :func:`release`, at the latest when the driver process ends.
+    The files go by :func:`release`, with the :func:`scratch` around it unless ``keep``, at the latest when the driver
+    process ends.
     """
     spark = df.sparkSession
     path = shared_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch():
+    """Releases at its end what was materialised inside, but for what was asked to be kept."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        release(*_SCRATCH.pop())
+
+
+_SCRATCH: list[list[DataFrame]] = []
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new path in the shared folder, deleted when the driver process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/tallyloom-{uuid.uuid4().hex}"

@@ -106,6 +106,15 @@ def test_released_files_are_gone(spark):
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def test_scratch_keeps_what_is_asked_for(spark):
+    with tables.scratch():
+        gone = tables.materialize(spark.range(2))
+        kept = tables.materialize(gone.where("id > 0"), keep=True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(kept._written_to).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert kept.count() == 1 and not system.exists(path(gone._written_to))
+
+
 def test_daily_counts_of_a_stream(spark, tmp_path):
     from pyspark.sql import functions as F
 
