@@ -1,13 +1,13 @@
 """Variant spellings of the names of people, linked place by place.
 
-Every spelling is reduced to a core.  Every core is cut into k + 1 segments and put into
-an inverted index, in the order in which it is written and turned round; a core that
-reads as a full name of registered elements is indexed under all its renderings besides
-(orders, readings, Latin letters, surname or call name alone).  The cores then look up
-their position-shifted substrings: at most k edits away at least one segment is found
-whole.  Each hit is verified by a banded edit distance.  A spelling joins the nearest
-registered person, if only one is nearest; spellings without any in reach join each other,
-and what hangs together is one person, by star links to its least core.
+Every spelling is reduced to a core.  Cores are cut into k + 1 segments and put into an
+inverted index; the others look up their position-shifted substrings: at most k edits away at
+least one segment is found whole.  Each hit is verified by a banded edit distance.  First
+the cores that read as full names of registered elements are indexed, under all their
+renderings (orders, readings, Latin letters, surname or call name alone), and a spelling joins
+the nearest of these persons, if only one is nearest.  The spellings without any in reach are
+then indexed themselves, as written and turned round, in whatever script, and look each
+other up; what hangs together is one person, by star links to its least core.
 """
 
 from __future__ import annotations
@@ -170,15 +170,13 @@ def link_spellings(names: DataFrame, place: str, written: str, lexicon_rows: lis
     named = cores.where("surname IS NOT NULL").select("place", "core", F.translate(F.concat("surname", "given"), *_FOLDED).alias("person"))
     others = cores.where("surname IS NULL")
     registered = parsed.where("surname IS NOT NULL").dropDuplicates(["place", "surname", "given"]).drop("written")  # also those that fold to one
-    indexed = registered.unionByName(others)
-    hits = materialize(_hits(others, _index(indexed, lexicon)))
-    first = materialize(_nearest(hits))
+    first = materialize(_nearest(_hits(others, _index(registered, lexicon))))
     left = materialize(others.join(first, ["place", "core"], "left_anti"))
     second = materialize(_nearest(_hits(left, _index(_readable(left, lexicon), lexicon))))
-    alone = materialize(left.join(second, ["place", "core"], "left_anti").select("place", "core"))
-    edges = hits.where("to IS NOT NULL AND to <> core").join(alone, ["place", "core"], "left_semi").join(alone.select("place", F.col("core").alias("to")), ["place", "to"], "left_semi")
+    alone = materialize(left.join(second, ["place", "core"], "left_anti"))
+    edges = _hits(alone, _index(alone, lexicon)).where("to <> core")
     groups = components(edges).select("place", "core", F.concat(F.lit("="), "root").alias("person"))
-    release(hits, left, alone)
+    release(left, alone)
     linked = named.unionByName(first.where("person IS NOT NULL")).unionByName(second.where("person IS NOT NULL")).unionByName(groups)
     out = parsed.select("place", "written", "core").join(linked, ["place", "core"], "left")
     return out.select("place", "written", F.coalesce("person", F.concat(F.lit("="), "core")).alias("person"))
