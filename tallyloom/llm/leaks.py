@@ -7,8 +7,8 @@ tokens the one of least hash, so any common run of twenty letters has a posting
 common, about a sixth of all positions.  It is written once and answers any set of passages.
 
 A passage is looked up from its rarest terms: a document that holds the asked share must have a
-certain number of its terms, so it has one of the rarest others.  The postings of what is
-found are intersected, adjusted by offset, and only documents with enough terms are read again to verify
+certain number of its terms, so it has one of the rarest others.  What is
+found so is looked up by the passage's other terms, and only documents with enough terms are read again to verify
 exact phrases and proximity, letter by letter.
 """
 
@@ -149,14 +149,17 @@ def search(index: DataFrame, docs: DataFrame, doc_id: str, text: str, items: Dat
     * ``run`` must be that of the index, at least ``2 * TERM - 1``.
     * Extra columns are ignored.  Empty tables give no row.
 
-    Nothing of the passages or documents comes to the driver but the number of distinct terms.
+    Nothing of the passages or documents comes to the driver but the number of distinct terms, and up to
+    ``BROADCAST_TERMS`` of these on their way to all workers.
     """
     window = _window(run)
     asked = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(passage).cast("string").alias("passage")).where("item IS NOT NULL AND passage IS NOT NULL").dropDuplicates(["item"])
     asked = materialize(asked)
     terms = materialize(_passage_terms(asked, window))
     wanted = terms.select("term").distinct()
-    met = materialize(index.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term").select("term", "doc", "pos").distinct())
+    # The files of postings and pairs are a small part of their rows in memory, and Spark estimates by files: but for the terms,
+    # whose number is known, nothing may be broadcast, as that would pass through the driver.
+    met = materialize(index.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted.hint("merge"), "term").select("term", "doc", "pos").distinct())
 
     # Runs that cover a stretch can be thinned to half of it without overlap, and a run of L letters has at least (L - 9) / 11
     # terms of its own, so each term accounts for 60 letters at most: a document needs this many of a passage's terms ...
@@ -164,13 +167,14 @@ def search(index: DataFrame, docs: DataFrame, doc_id: str, text: str, items: Dat
     needed = F.ceil(F.col("size") * F.lit(share) / F.lit(float(longest)))
     # ... and if it lacks all of the rarest, but this many less one, it can't have them.
     rarity = met.groupBy("term").agg(F.count_distinct("doc").alias("df"))
-    ranked = terms.join(rarity, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "term", "at")))
-    rarest = ranked.withColumn("all", F.count("*").over(Window.partitionBy("item"))).where(F.col("rank") <= F.col("all") - needed + 1)
-    first = rarest.join(met, "term").select("doc", "item").distinct()
-    adjusted = first.join(terms, "item").join(met, ["doc", "term"]).select("doc", "item", "size", "at", (F.col("pos") - F.col("at")).alias("d"))
-    enough = adjusted.groupBy("doc", "item", "size").agg(F.count_distinct("at").alias("n")).where(F.col("n") >= needed)
-    pairs = materialize(enough.join(asked, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "passage")).alias("pairs")))
-    release(met, terms, asked)
+    ranked = terms.join(rarity.hint("merge"), "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "term", "at")))
+    placed = materialize(ranked.withColumn("rare", F.col("rank") <= F.count("*").over(Window.partitionBy("item")) - needed + 1).select("item", "size", "term", "at", "rare"))
+    first = materialize(placed.where("rare").join(met.hint("merge"), "term").select("doc", "item", "size", "at").distinct())
+    # the rest of the terms, a few of each passage, only for what was found by the rarest
+    rest = first.select("doc", "item").distinct().join(placed.where("NOT rare").hint("merge"), "item").join(met.hint("merge"), ["doc", "term"]).select("doc", "item", "size", "at")
+    enough = first.unionByName(rest).groupBy("doc", "item", "size").agg(F.count_distinct("at").alias("n")).where(F.col("n") >= needed)
+    pairs = materialize(enough.join(asked.hint("merge"), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "passage")).alias("pairs")))
+    release(met, terms, asked, placed, first)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -186,7 +190,7 @@ def search(index: DataFrame, docs: DataFrame, doc_id: str, text: str, items: Dat
             yield pd.DataFrame(out, columns=["doc", "item", "letters", "of_letters", "longest", "kind"])
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    found = source.join(pairs, "doc").mapInPandas(verify, "doc BIGINT, item BIGINT, letters INT, of_letters INT, longest INT, kind STRING")
+    found = source.join(pairs.hint("merge"), "doc").mapInPandas(verify, "doc BIGINT, item BIGINT, letters INT, of_letters INT, longest INT, kind STRING")
     return found.dropDuplicates(["doc", "item"]).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "letters", "of_letters", "longest", "kind")
 
 

@@ -106,3 +106,24 @@ def test_overlapping_runs(spark):
     p = letters(passage(rnd, 12))
     docs = [(i, "#".join(p[a : a + w] for a in range(0, len(p) - w + 1, step)) + "@" + passage(rnd, 3)) for i, (w, step) in enumerate([(20, 1), (20, 7), (30, 10), (29, 9), (21, 13), (40, 20)])]
     assert run_it(spark, docs, [(1, p)]) == brute(docs, [(1, p)]) == {(i, 1) for i in range(6)}
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_only_terms_pass_through_the_driver(spark, monkeypatch, bound):
+    """Postings, passages and found pairs are joined by shuffles, however small their files are."""
+    rnd = random.Random(6)
+    items = [(i, passage(rnd)) for i in range(5)]
+    docs = [(d, passage(rnd, 5) + rnd.choice(items)[1] + passage(rnd, 5)) for d in range(20)]
+    plans, materialize = [], leaks.materialize
+
+    def noted(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, *rest)
+
+    monkeypatch.setattr(leaks, "materialize", noted)
+    monkeypatch.setattr(leaks, "BROADCAST_TERMS", bound)
+    df, asked = spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, passage STRING")
+    found = find_leaks(df, "doc_id", "text", asked, "item_id", "passage")
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == brute(docs, items)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("BroadcastExchange") for p in plans) == (bound > 0)
