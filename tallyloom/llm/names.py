@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from collections.abc import Container
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -268,6 +269,6 @@ def probe_keys(text: str, k: int) -> list[str]:
 
 
 @lru_cache(8)
-def name_unifier(surnames: tuple[str, ...], words: tuple[str, ...], table: tuple[str, str] = BUILT_IN):
+def name_unifier(surnames: tuple[str, ...], words: tuple[str, ...], table: tuple[str, str] = BUILT_IN, more: Container[str] = ()):
     """The canonical form of names, cached in a process."""
-    return make_unifier(surnames, words, table)
+    return make_unifier(surnames, words, table, more)

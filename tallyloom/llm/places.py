@@ -69,7 +69,7 @@ def resolve_places(texts: DataFrame, text: str, places: DataFrame, name: str, le
     place within reach and texts with two nearest ones give no row.  Repeated texts give one row.
     """
     lexicon = Lexicon.of(lexicon_rows)
-    args = (tuple(lexicon.surnames), (*lexicon.kana_words(), *kana_runs(places, name)), published_table(texts.sparkSession))
+    args = (tuple(lexicon.surnames), tuple(lexicon.kana_words()), published_table(texts.sparkSession), kana_runs(places, name))
     known = places.select(F.col(name).cast("string").alias("place")).where("place IS NOT NULL").distinct()
     written = texts.select(F.col(text).cast("string").alias("written")).where("written IS NOT NULL").distinct()
 

@@ -12,12 +12,17 @@ script: a letter is settled only if its whole word can be of one script.
 
 from __future__ import annotations
 
+import hashlib
+import mmap
+import os
 import re
+import tempfile
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Container, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,8 +67,55 @@ _TWIN_NEAR = (
 QUICK_CHECK = rf"^[ ]|[ ]\z|{_UNSTABLE}|{_TWIN_NEAR}"
 
 
-#: Bound of the lexicon of katakana words in names, about 2 MB.
-WORDS = 100_000
+class WordFile:
+    """A set of words as a sorted file that Spark sends to every worker, of which only the pages asked for are in memory."""
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+
+    def __contains__(self, word: str) -> bool:
+        return _listed(SparkFiles.get(self.name), word)
+
+    def __iter__(self) -> Iterator[str]:
+        with open(SparkFiles.get(self.name), encoding="utf-8") as f:
+            yield from (line.rstrip("\n") for line in f)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, WordFile) and self.name == other.name
+
+    def __hash__(self) -> int:
+        return hash(self.name)
+
+
+@lru_cache(8)
+def _mapped(path: str) -> mmap.mmap | bytes:
+    with open(path, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.path.getsize(path) else b""
+
+
+@lru_cache(100_000)
+def _listed(path: str, word: str) -> bool:
+    """Whether a line of a file, whose lines are sorted by their bytes, is ``word``."""
+    data, asked = _mapped(path), word.encode("utf-8", "surrogatepass")
+    low, high = 0, len(data)
+    while low < high:
+        at = data.rfind(b"\n", low, (low + high) // 2) + 1 or low
+        end = data.find(b"\n", at)
+        line = data[at:end]
+        if line == asked:
+            return True
+        low, high = (end + 1, high) if line < asked else (low, at)
+    return False
+
+
+class _Either:
+    """What is in one of two sets."""
+
+    def __init__(self, a: Container[str], b: Container[str]) -> None:
+        self.a, self.b = a, b
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.a or word in self.b
 
 
 def _script(ch: str) -> str:
@@ -79,7 +131,7 @@ def _script(ch: str) -> str:
     return ""
 
 
-def _settle_twins(text: str, surnames: frozenset[str], kana_words: frozenset[str]) -> str:
+def _settle_twins(text: str, surnames: frozenset[str], kana_words: Container[str]) -> str:
     """Gives each look-alike kana or kanji the script of the word it stands in.
 
     The nearest letters on both sides that have no twin decide.  If they disagree, a
@@ -220,9 +272,9 @@ def _settle_latin(text: str, looks: dict[str, str]) -> str:
     return _WORD.sub(word, text)
 
 
-def make_unifier(surnames: Iterable[str] = (), kana_words: Iterable[str] = (), table: tuple[str, str] = BUILT_IN):
-    """The function text -> canonical text, for one set of registered surnames and kana words and one table of look-alike letters."""
-    names, words = frozenset(surnames), frozenset(kana_words)
+def make_unifier(surnames: Iterable[str] = (), kana_words: Iterable[str] = (), table: tuple[str, str] = BUILT_IN, more: Container[str] = ()):
+    """The function text -> canonical text, for one set of registered surnames and kana words, also those in ``more``, and one table of look-alike letters."""
+    names, words = frozenset(surnames), _Either(frozenset(kana_words), more)
     looks, kinds = _tools(table)
 
     @lru_cache(200_000)
@@ -300,28 +352,45 @@ def lexicon_words(lexicon: DataFrame) -> tuple[list[str], list[str]]:
     )
 
 
-def kana_runs(places: DataFrame, name: str) -> list[str]:
-    """The katakana words in registered names, a lexicon of at most ``WORDS`` words: counted over all names, the most frequent are taken.
+def kana_runs(places: DataFrame, name: str) -> WordFile:
+    """All katakana words in registered names.
 
-    Bounded as what a worker holds must not grow with the places; a word that is left out only makes a look-alike in it undecided.
+    They are sorted by Spark and pass the driver a part at a time into a file, so neither it nor a worker holds
+    them; equal words are sent once a session.
     """
+    context = places.sparkSession.sparkContext
     runs = F.explode(F.regexp_extract_all(F.col(name), F.lit("[ァ-ヺー]{2,}"), 0)).alias("w")
-    return sorted(r.w for r in places.select(runs).groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS).collect())
+    path, digest = os.path.join(tempfile.mkdtemp(prefix="tallyloom-words-"), "words"), hashlib.sha256()
+    with open(path, "wb") as f:
+        for row in places.select(runs).distinct().orderBy("w").toLocalIterator():
+            line = row.w.encode("utf-8") + b"\n"
+            digest.update(line)
+            f.write(line)
+    file = f"tallyloom-words-{digest.hexdigest()}"
+    if (context.applicationId, file) not in _SENT:
+        named = os.path.join(os.path.dirname(path), file)
+        os.rename(path, named)
+        context.addFile(named)
+        _SENT.add((context.applicationId, file))
+    return WordFile(file)
+
+
+_SENT: set[tuple[str, str]] = set()
 
 
-def unify_udf(surnames: list[str], kana_words: list[str], table: tuple[str, str] = BUILT_IN):
+def unify_udf(surnames: list[str], kana_words: list[str], table: tuple[str, str] = BUILT_IN, more: Container[str] = ()):
     """Arrow UDF of the canonical form; null stays null, the empty text stays empty."""
 
     @F.pandas_udf("string")
     def unified(values: pd.Series) -> pd.Series:
-        f = make_unifier(tuple(surnames), tuple(kana_words), table)
+        f = make_unifier(tuple(surnames), tuple(kana_words), table, more)
         return values.map(lambda v: None if v is None else f(v))
 
     return unified
 
 
 def find_disguised(
-    df: DataFrame, row_id: str, fields: list[str], lexicon: DataFrame, table_name: str, words: list[str] | None = None, repeats: bool = False
+    df: DataFrame, row_id: str, fields: list[str], lexicon: DataFrame, table_name: str, words: Container[str] = (), repeats: bool = False
 ) -> DataFrame:
     """Every field value that isn't in its canonical form: ``table_name, row_id, field, value, canonical``.
 
@@ -331,7 +400,7 @@ def find_disguised(
     No shuffle before the quick check; Python sees only the values that fail it.
     """
     surnames, kana = lexicon_words(lexicon)
-    udf = unify_udf(surnames, sorted({*kana, *(words or [])}), published_table(df.sparkSession))
+    udf = unify_udf(surnames, kana, published_table(df.sparkSession), words)
     named = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))
     each = df.select(F.col(row_id).alias("row_id"), named.alias("_n")).select("row_id", "_n.field", "_n.value")
     done = each.where(needs_unifying(F.col("value"))).withColumn("canonical", udf("value")).where(F.col("canonical") != F.col("value"))

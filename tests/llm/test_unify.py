@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.llm.unify import BUILT_IN, MARKS, _segments, _tools, find_disguised, make_unifier, needs_unifying, published_table
+from tallyloom.llm import unify
+from tallyloom.llm.unify import BUILT_IN, MARKS, _segments, _tools, find_disguised, kana_runs, make_unifier, needs_unifying, published_table
 
 LEXICON = [("surname", "夕口", "ユウグチ", "Yuuguchi", None), ("surname", "水口", "ミズグチ", "Mizuguchi", None), ("surname", "上浦", "カミウラ", "Kamiura", None), ("surname", "夕岡", "ユウオカ", "Yuuoka", None), ("given", "隆代", "タカヨ", "Takayo", "タカ")]
 UNIFY = make_unifier([r[1] for r in LEXICON if r[0] == "surname"], [w for r in LEXICON for w in (r[2], r[4]) if w])
@@ -91,3 +92,18 @@ def test_only_unstable_segments_change():
     _, kinds = _tools(BUILT_IN)
     assert [text[a:b] for a, b in _segments(text, kinds)] == ["ﾊﾟ", "é"]
     assert UNIFY(text) == "前倉" * 50 + "パ" + "。" * 50 + "éx"
+
+
+def test_every_kana_word_of_the_places_counts(spark, monkeypatch):
+    """However rare a word is, and however many there are, it decides on the look-alikes in it."""
+    monkeypatch.setattr(unify, "WORDS", 1, raising=False)
+    words = ["タウン", "プラザ", "エニ", *("".join("アイウオキクケコサシ"[int(x)] for x in str(i)) for i in range(10, 3_000))]
+    stores = spark.createDataFrame([(f"前倉{w}{i}号店",) for w in words for i in range(1 + 2 * (w == "タウン"))] + [(None,), ("",)], "store_name STRING")
+    found = kana_runs(stores, "store_name")
+    assert set(found) == set(words) and all(w in found for w in words)
+    assert not any(w in found for w in ("", "ア", "ン", "ヺヺ", "エニエ", "A"))
+    lexicon = spark.createDataFrame(LEXICON, "name_kind STRING, kanji STRING, kana STRING, romaji STRING, called_as STRING")
+    df = spark.createDataFrame([(1, "工ニ"), (2, "工二")], "id BIGINT, store STRING")
+    assert {r.row_id: r.canonical for r in find_disguised(df, "id", ["store"], lexicon, "t", found).collect()}[1] == "エニ"
+    none = kana_runs(stores.limit(0), "store_name")
+    assert list(none) == [] and "エニ" not in none
