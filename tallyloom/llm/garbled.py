@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,10 +21,10 @@ from itertools import accumulate
 from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.tables import spread
+from tallyloom.tables import materialize, scratch, spread
 
 #: Encodings with one byte a character that text may have been read with.
 SINGLE = ["cp1252", "mac_roman", "cp437", "cp850", "koi8_r", "cp1251", "cp866", "cp1250", "iso8859_15", "cp1254", "cp1253", "iso8859_2", "mac_cyrillic", "iso8859_5", "cp775", "cp852", "cp1257"]
@@ -46,11 +47,9 @@ LOST_COST = 3
 LETTER_COST = 1
 #: Bytes that each byte costs that the real encoding can't decode: it would have to be told besides the restored text.
 BROKEN_COST = 2
-#: Bound of the sample from which the dictionary of a language is made, in documents and characters of each.
-SAMPLE_DOCS = 600
-SAMPLE_CHARS = 4_000
-#: Bound of the languages that get a dictionary.
-LANGUAGES = 64
+#: A letter of the alphabet stands in one sentence at least of so many documents of some language; rarer ones have to be spelled.
+RARE = 600
+#: Bytes of a dictionary: what zstandard refers to.
 DICTIONARY = 112_640
 #: Characters around a stretch that are compressed with it: the gain must show in each, as the size of a short text is uneven.
 _CONTEXTS = (16, 40)
@@ -348,34 +347,83 @@ def restore(text: str, length: Describer, screen: bool = True) -> tuple[str, lis
         n += 1
 
 
-#: Java class of characters that no script writes: controls, lost ones, private ones, frames.  Documents with one aren't taken into the sample.
+#: Java class of characters that no script writes: controls, lost ones, private ones, frames.  Documents with one teach nothing.
 _ODD = r"[\x{80}-\x{9f}\x{fffd}\x{e000}-\x{f8ff}\x{2500}-\x{259f}]"
 
 
-def language_dictionaries(docs: DataFrame, doc_id: str, text: str, lang: str) -> tuple[dict[str, bytes], str]:
-    """A raw dictionary for each language and the alphabet, from a bounded sample of the documents without odd characters.
+#: Where a sentence ends, for Python and Java.
+_END = r"(?<=[。.!?！？\n])"
 
-    About ``SAMPLE_DOCS`` documents a language, those whose hash of the id is below a bound that follows from the
-    language's count, and ``SAMPLE_CHARS`` characters of each: nothing is ranked, and what comes to the driver doesn't grow
-    with the corpus.
+
+def language_dictionaries(docs: DataFrame, text: str, lang: str) -> tuple[dict[str, bytes], str]:
+    """A raw dictionary for each language and the alphabet, from all documents of a language without odd characters.
+
+    The same as :func:`build_dictionaries` of them: every sentence is counted and searched, whole and on the executors.  The
+    driver gets what the dictionaries have room for and the letters.
     """
-    named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = named.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).where("n > 0")
-    place = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 40))
-    bound = F.ceil(F.lit(float(SAMPLE_DOCS << 40)) / F.col("n"))
-    drawn = named.select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"), place.alias("h")).join(F.broadcast(counts.limit(LANGUAGES)), "lang").where(F.col("h") < bound)
-    clean = drawn.where(~F.regexp("text", F.lit(_ODD))).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    return build_dictionaries([(r.lang, r.text) for r in clean.collect()])
-
-
-def _packed(parts: list[str]) -> bytes:
-    """Sentences as a raw dictionary: those of most documents last, where zstandard refers to them cheapest; ties by a hash."""
-    seen: dict[str, int] = {}
-    for part in parts:
-        seen[part] = seen.get(part, 0) + 1
+    named = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL").where(~F.regexp("text", F.lit(_ODD)))
+    half = F.crc32(F.col("text").cast("binary")) % 2
+    halves = [F.count(F.when(half == h, 1)).alias(f"n{h}") for h in (0, 1)]
+    sizes = {r["lang"]: (r["n0"], r["n1"]) for r in named.groupBy("lang").agg(*halves).collect()}
+
+    def doubt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(doubtful=[_doubtful(p) for p in batch["part"]])
+
+    with scratch():
+        each = named.select("lang", half.alias("half"), F.explode(F.array_distinct(F.split("text", _END))).alias("part")).where(F.length("part") > 3)
+        counted = materialize(each.groupBy("lang", "part").agg(*[F.count(F.when(F.col("half") == h, 1)).alias(f"n{h}") for h in (0, 1)]))
+        counted = materialize(spread(counted, "part").mapInPandas(doubt, "lang STRING, part STRING, n0 BIGINT, n1 BIGINT, doubtful BOOLEAN"))
+        shared = docs.sparkSession.sparkContext.broadcast([_model(counted.where("NOT doubtful"), f"n{h}", {k: n[h] for k, n in sizes.items()}) for h in (0, 1)])
+
+        def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            describers = [Describer(*x) for x in shared.value]
+            for batch in batches:
+                yield batch[[not _bad(p, n, describers) for p, n in zip(batch["part"], zip(batch["n0"], batch["n1"], strict=True), strict=True)]]
+
+        kept = materialize(spread(counted, "part").mapInPandas(clean, counted.schema).selectExpr("lang", "part", "n0 + n1 AS n"))
+        return _model(kept, "n", {k: sum(n) for k, n in sizes.items()})
+
+
+def _model(counted: DataFrame, n: str, docs: dict[str, int]) -> tuple[dict[str, bytes], str]:
+    """Dictionaries and alphabet of sentences with their language and their number ``n`` of documents."""
+    counted = counted.select("lang", "part", F.col(n).alias("n")).where("n > 0")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.crc32(F.col("part").cast("binary")), "part")
+    # no sentence has less than four bytes: as many first ones as a dictionary may hold, taken in each task already
+    first = counted.where(F.octet_length("part") <= DICTIONARY).withColumn("r", F.row_number().over(order)).where(F.col("r") <= DICTIONARY // 4)
+    best = first.withColumn("size", F.sum(F.octet_length("part")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("size") <= DICTIONARY)
+    sentences: dict[str, dict[str, int]] = {}
+    for r in best.select("lang", "part", "n").collect():
+        sentences.setdefault(r["lang"], {})[r["part"]] = r["n"]
+
+    def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[tuple[str, str]] = Counter()
+        for batch in batches:
+            for row in zip(batch["lang"], batch["part"], batch["n"], strict=True):
+                _count_letters(found, *row)
+        yield pd.DataFrame([(*k, v) for k, v in found.items()], columns=["lang", "c", "n"])
+
+    common = counted.mapInPandas(letters, "lang STRING, c STRING, n BIGINT").groupBy("lang", "c").agg(F.sum("n").alias("n"))
+    return _dictionaries(sentences), _alphabet({(r["lang"], r["c"]): r["n"] for r in common.collect()}, docs)
+
+
+def _count_letters(found: Counter[tuple[str, str]], lang: str, part: str, n: int) -> None:
+    for c in set(part):
+        found[lang, c] += n
+
+
+def _alphabet(letters: dict[tuple[str, str], int], docs: dict[str, int]) -> str:
+    """The letters, but those that are rarer than one in ``RARE`` documents in each language."""
+    return "".join(sorted({c for (lang, c), n in letters.items() if n * RARE >= docs[lang]}))
+
+
+def _packed(counts: dict[str, int]) -> bytes:
+    """Sentences as a raw dictionary: those of most documents last, where zstandard refers to them cheapest; ties by a hash.  What is longer than a dictionary is in none."""
     best, size = [], 0
-    for part, _ in sorted(seen.items(), key=lambda x: (-x[1], crc32(x[0].encode("utf-8", "surrogatepass")), x[0])):
+    for part, _ in sorted(counts.items(), key=lambda x: (-x[1], crc32(x[0].encode("utf-8", "surrogatepass")), x[0])):
         data = part.encode("utf-8", "surrogatepass")
+        if len(data) > DICTIONARY:
+            continue
         if size + len(data) > DICTIONARY:
             break
         best.append(data)
@@ -383,10 +431,8 @@ def _packed(parts: list[str]) -> bytes:
     return b"".join(reversed(best))
 
 
-def _describer(languages: dict[str, list[str]]) -> tuple[dict[str, bytes], str]:
-    """Dictionaries and alphabet of sentences by language; the alphabet has the letters of all sentences, also of those that no dictionary has room for."""
-    letters = sorted({c for parts in languages.values() for part in parts for c in part})
-    return {name: _packed(languages[name]) for name in sorted(languages)}, "".join(letters)
+def _dictionaries(sentences: dict[str, dict[str, int]]) -> dict[str, bytes]:
+    return {name: _packed(sentences[name]) for name in sorted(sentences)}
 
 
 def _explained(part: str) -> bool:
@@ -402,21 +448,42 @@ def _explained(part: str) -> bool:
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 
 
-def build_dictionaries(sample: list[tuple[str, str]]) -> tuple[dict[str, bytes], str]:
-    """The dictionaries and the alphabet of a sample of (language, text).
+def _doubtful(part: str) -> bool:
+    return not part.isascii() and _explained(part)
+
+
+def _bad(part: str, n: tuple[int, int], describers: list[Describer]) -> bool:
+    """Whether a sentence of ``n`` documents of each half is garbled for the describer of the other half."""
+    return not part.isascii() and any(n[h] > 0 and restore(part, describers[1 - h])[1] for h in (0, 1))
+
+
+def build_dictionaries(texts: list[tuple[str, str]]) -> tuple[dict[str, bytes], str]:
+    """The dictionaries and the alphabet of texts in memory, as (language, text).
 
-    Garbled sentences that came into the sample are taken out: each half of the sample is searched with the
-    dictionaries of the other half, of which only the sentences count in which no pair of encodings explains a
-    whole run of characters, and what is restored is left out.
+    Garbled sentences are taken out: each half of the texts is searched with the dictionaries of the other half,
+    of which only the sentences count in which no pair of encodings explains a whole run of characters, and what
+    is restored is left out.
     """
-    halves: list[dict[str, list[str]]] = [{}, {}]
-    for i, (name, text) in enumerate(sorted(sample)):
-        parts = [p for p in dict.fromkeys(re.split(r"(?<=[。.!?！？\n])", text)) if len(p) > 3]
-        halves[i % 2].setdefault(name, []).extend(parts)
-    doubtful = {p for half in halves for parts in half.values() for p in parts if not p.isascii() and _explained(p)}
-    describers = [Describer(*_describer({name: [p for p in parts if p not in doubtful] for name, parts in half.items()})) for half in halves]
-    bad = {p for half, other in zip(halves, reversed(describers), strict=True) for parts in half.values() for p in set(parts) if not p.isascii() and restore(p, other)[1]}
-    return _describer({name: [p for half in halves for p in half.get(name, []) if p not in bad] for half in halves for name in half})
+    counted: dict[tuple[str, str], list[int]] = {}
+    docs: dict[str, list[int]] = {}
+    for name, text in texts:
+        half = crc32(text.encode("utf-8", "surrogatepass")) % 2
+        docs.setdefault(name, [0, 0])[half] += 1
+        for part in {p for p in re.split(_END, text) if len(p) > 3}:
+            counted.setdefault((name, part), [0, 0])[half] += 1
+
+    def model(rows: dict[tuple[str, str], int], size: dict[str, int]) -> tuple[dict[str, bytes], str]:
+        sentences: dict[str, dict[str, int]] = {}
+        letters: Counter[tuple[str, str]] = Counter()
+        for (name, part), n in rows.items():
+            if n:
+                sentences.setdefault(name, {})[part] = n
+                _count_letters(letters, name, part, n)
+        return _dictionaries(sentences), _alphabet(letters, size)
+
+    sure = {k: n for k, n in counted.items() if not _doubtful(k[1])}
+    describers = [Describer(*model({k: n[h] for k, n in sure.items()}, {k: n[h] for k, n in docs.items()})) for h in (0, 1)]
+    return model({k: sum(n) for k, n in counted.items() if not _bad(k[1], tuple(n), describers)}, {k: sum(n) for k, n in docs.items()})
 
 
 def find_garbled(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
@@ -424,10 +491,10 @@ def find_garbled(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFram
 
     Documents without one, and null, empty and blank texts, give no row.  Characters that were lost
     for good stay U+FFFD in ``restored``.  A repeated row is repeated in the result; a null id is kept;
-    a null language only keeps the document out of the sample.  Extra columns are ignored.  No shuffle
-    but that of the counts of the languages, and of inputs with fewer splits than there are cores.
+    a null language only keeps the document out of the dictionaries.  Extra columns are ignored.  Shuffled
+    are the counts of the sentences, and inputs with fewer splits than there are cores.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(language_dictionaries(docs, doc_id, text, lang))
+    shared = docs.sparkSession.sparkContext.broadcast(language_dictionaries(docs, text, lang))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

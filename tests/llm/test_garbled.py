@@ -108,3 +108,16 @@ def test_screening_changes_nothing():
         rnd.shuffle(parts)
         text = rnd.choice(["", " ", "\n"]).join(parts)
         assert G.restore(text, WIDE) == G.restore(text, WIDE, screen=False), text
+
+
+def test_all_documents_make_the_dictionaries(spark, monkeypatch):
+    """As from memory, with halves, garbled sentences and rare letters: late sentences, more documents than any bound, more than 64 languages."""
+    monkeypatch.setattr(G, "DICTIONARY", 3_000)
+    texts = [("ja", t) for t in JA] + [("pt", t) for t in PT] + [("pt", spoil(t, "utf_8", "cp1252")) for t in PT[::9]] + [(f"x{i}", f"Sentence of language {i}.") for i in range(70)]
+    texts += [("en", "no. " * 1_200 + "Late sentence with ž alone.")] * 3 + [("en", "no " * 1_500)] * 4 + [("en", f"Number {i} is here.") for i in range(1_500)] + [("en", "One ŵ only.")]
+    df = spark.createDataFrame([(i, t, name) for i, (name, t) in enumerate(texts)], "doc_id BIGINT, text STRING, lang STRING")
+    found = G.language_dictionaries(df, "text", "lang")
+    assert found == G.build_dictionaries(texts)
+    words, letters = found
+    assert len(words) == 73 and words["en"].endswith("Late sentence with ž alone.".encode()) and "ž" in letters and "ŵ" not in letters and "Ã" not in letters
+    assert G.language_dictionaries(df.where("lang IS NULL"), "text", "lang") == ({}, "")
