@@ -243,10 +243,31 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(10_000)
+def _cuts(length: int, k: int) -> list[tuple[str, int, int]]:
+    """The keys of an indexed text of this length: what begins the key, start and end of the segment."""
+    k = min(k, max(length - 1, 0))
+    return [(f"{length}|{k}|{i}|", a, a + n) for i, (a, n) in enumerate(segments(length, k))]
+
+
+@lru_cache(10_000)
+def _places(size: int, k: int) -> list[tuple[str, int, int]]:
+    """The keys looked up for a text of this size: what begins the key, start and end of its part."""
+    out = []
+    for length in range(max(1, size - k), size + k + 1):
+        shift, cut = size - length, min(k, length - 1)  # short texts are indexed in fewer segments, for fewer edits
+        if abs(shift) > cut:
+            continue
+        for i, (a, n) in enumerate(segments(length, cut)):
+            first = max(0, a - i, a + shift - (cut - i))
+            last = min(size - n, a + i, a + shift + (cut - i))
+            out += [(f"{length}|{cut}|{i}|", start, start + n) for start in range(first, last + 1)]
+    return out
+
+
 def index_keys(text: str, k: int) -> list[str]:
     """Keys of an indexed text: its length and each of its k + 1 segments.  A text isn't cut into more segments than it has letters."""
-    k = min(k, max(len(text) - 1, 0))
-    return [f"{len(text)}|{k}|{i}|{text[a : a + n]}" for i, (a, n) in enumerate(segments(len(text), k))]
+    return [head + text[a:b] for head, a, b in _cuts(len(text), k)]
 
 
 def probe_keys(text: str, k: int) -> list[str]:
@@ -255,17 +276,7 @@ def probe_keys(text: str, k: int) -> list[str]:
     The i-th segment of a match, with at most i edits before it and at most k - i behind
     it, starts within i places of its own place and within k - i of it from the end.
     """
-    out = {}
-    for length in range(max(1, len(text) - k), len(text) + k + 1):
-        shift, cut = len(text) - length, min(k, length - 1)  # short texts are indexed in fewer segments, for fewer edits
-        if abs(shift) > cut:
-            continue
-        for i, (a, n) in enumerate(segments(length, cut)):
-            first = max(0, a - i, a + shift - (cut - i))
-            last = min(len(text) - n, a + i, a + shift + (cut - i))
-            for start in range(first, last + 1):
-                out[f"{length}|{cut}|{i}|{text[start : start + n]}"] = None
-    return list(out)
+    return list(dict.fromkeys([head + text[a:b] for head, a, b in _places(len(text), k)]))
 
 
 @lru_cache(8)

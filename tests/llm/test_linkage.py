@@ -130,3 +130,58 @@ def test_the_plan_decides_nothing(world, monkeypatch):
     assert links() == plain and len(plain) >= 80 and max(c for _, _, c, _ in plain) == 2
     monkeypatch.setattr(linkage, "HOT", 0.03)  # some are
     assert links() == plain
+
+
+def _longest_method(df):
+    """Bytes of the longest generated method of a plan."""
+    import contextlib
+    import io
+    import re
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("codegen")
+    return max((int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())), default=0)
+
+
+def test_generated_methods_are_short_enough_to_be_compiled(spark, world):
+    """The JVM interprets methods beyond 8,000 bytes, which made up a third of the job's time."""
+    readings, records, _, _ = world
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dates = spark.range(9).select(F.concat(F.lit("2026-02-0"), F.col("id").cast("string")).alias("t"))
+        assert _longest_method(dates.select(*day_of(F.col("t")))) < 8_000
+        side = "record_id BIGINT, y STRING, d STRING, s STRING, p STRING, t STRING, n STRING, `left` ARRAY<STRING>, `right` ARRAY<STRING>, ls BIGINT, rs BIGINT, hot ARRAY<BIGINT>, shared BOOLEAN, single BOOLEAN"
+        some = spark.range(9).select("id", *(F.from_json(F.concat(F.lit('{"n":"'), F.col("id").cast("string"), F.lit('"}')), side).alias(x) for x in "fg"))
+        f, g = some.select("id", F.col("id").alias("rid"), "f"), some.select("id", "g")
+        pairs = f.repartition(2, "id").hint("merge").join(g.repartition(2, "id"), "id").withColumn("single", F.lit(False))
+        assert 0 < _longest_method(linkage._compare(pairs)) < 8_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+@pytest.mark.parametrize("f, g, level, same", [
+    (["20", "6", "3"], ["20", "6", "3"], 0, True), (["6", "20", "3"], ["20", "6", "3"], 1, True), (["5", "5", "3"], ["5", "3", "5"], 1, True), (["5", "5", "5"], ["5", "3", "2"], 2, False),
+    (["5", "5", "3"], ["5", "2"], 2, False), (["9", "6", "3", "20"], ["20", "6", "1"], 1, False), (["9", "8", "7", "20", "20"], ["20", "6", "1"], 2, False), (["9"], ["8"], 3, False), ([], ["8"], -1, False), ([], [], -1, False),
+])
+def test_levels_of_totals(spark, f, g, level, same):
+    side = "record_id BIGINT, y STRING, d STRING, s STRING, p STRING, t STRING, n STRING, `left` ARRAY<STRING>, `right` ARRAY<STRING>, shared BOOLEAN, single BOOLEAN"
+    row = spark.createDataFrame([(1, (None,) * 7 + (f, [], False, True), (1,) + (None,) * 6 + (g, [], False, True), True)], f"rid BIGINT, f STRUCT<{side}>, g STRUCT<{side}>, single BOOLEAN")
+    got = linkage._compare(row).first()
+    assert linkage._levels(got.pattern) == (-1, -1, -1, -1, level, -1, -1) and got.sample == same
+
+
+@pytest.mark.parametrize("f, g, level", [("0000000001", "0000000001", 0), ("0000000001", "0000000002", 1), ("0000000001", "0000000112", 2), ("0000000001", "0000111112", 3), ("00001", "0000000001", 1), ("000001", "00001", 1), ("0001", "0000000001", 3)])
+def test_levels_of_numbers(spark, f, g, level):
+    side = "record_id BIGINT, y STRING, d STRING, s STRING, p STRING, t STRING, n STRING, `left` ARRAY<STRING>, `right` ARRAY<STRING>, shared BOOLEAN, single BOOLEAN"
+    row = spark.createDataFrame([(1, (None,) * 6 + (f, [], [], False, True), (1,) + (None,) * 5 + (g, [], [], False, True), True)], f"rid BIGINT, f STRUCT<{side}>, g STRUCT<{side}>, single BOOLEAN")
+    assert linkage._levels(linkage._compare(row).first().pattern) == (-1,) * 6 + (level,)
+
+
+def test_plain_totals_are_read_as_the_grammar_reads_them(spark):
+    texts = ["20/6/3", "7", "20/6/", "/6", "20//3", "20/6/3\n", "1.5/2", "1,234/5", "２０/6", " 20/6", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    got = [r[0] for r in df.orderBy("i").select(linkage._numbers(F.col("t"))).collect()]
+    assert got == [r[0] for r in df.orderBy("i").select(linkage._numbers(F.concat(F.lit("\u200b"), F.col("t")))).collect()]  # a blank the short way doesn't know
+    assert got[:3] == [["20", "6", "3"], ["7"], ["20", "6"]]
